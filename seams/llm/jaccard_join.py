@@ -246,7 +246,7 @@ def _rest(member: DataFrame, comp: DataFrame) -> DataFrame:
     y = now.select("k1", "k2", F.col("comp").alias("cb"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("heavy").alias("hb"))
     pairs = meet.join(x, ["k1", "k2", "ca"]).join(y, ["k1", "k2", "cb"]).where(_fits(F.col("na"), F.col("nb")) & ((F.col("k2") != 0) | F.col("ha") | F.col("hb")))
     # Shared shingles up to the last common place of either are counted; beyond it at most the shorter rest is shared.
-    met = pairs.groupBy(F.least("a", "b").alias("a_"), F.greatest("a", "b").alias("b_")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count_if("k2 = 0").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max(F.col("k2") != 0).alias("subset"))
+    met = pairs.groupBy(F.least("a", "b").alias("a_"), F.greatest("a", "b").alias("b_")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count_if(F.col("k2") == 0).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max(F.col("k2") != 0).alias("subset"))
     most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     return met.where(F.col("subset") | (7 * most >= 3 * (F.col("na") + F.col("nb")))).select(F.col("a_").alias("a"), F.col("b_").alias("b"))
 
