@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seams.llm import decontaminate, jaccard_join, packing, quality, secrets, suffix_dedup, toxicity, warc
+from seams.llm import decontaminate, jaccard_join, lm_ppm, packing, quality, secrets, suffix_dedup, toxicity, warc
 
 #: Where the files of public tokenizers are looked up.
 TOKENIZERS = "/opt/tokenizers"
@@ -45,6 +45,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_ppm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
