@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seams.llm import decontaminate, jaccard_join, lm_ppm, packing, quality, secrets, suffix_dedup, toxicity, warc
+from seams.llm import decontaminate, jaccard_join, licences, lm_ppm, packing, quality, secrets, suffix_dedup, toxicity, warc
 
 #: Where the files of public tokenizers are looked up.
 TOKENIZERS = "/opt/tokenizers"
@@ -53,6 +53,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
