@@ -9,8 +9,8 @@ Scores are calibrated: the probability from which a family is believed is the le
 one at which no unknown paragraph of the holdout would be. A believed family is
 confirmed against its notices: at least half of the paragraph's n-grams of two words must be there.
 
-A paragraph without any feature has the score of the bias, which is unknown; such
-paragraphs are told by their words and not scored further.
+A notice names its licence in two words or more: a paragraph with fewer distinct words of
+the notices (stop words aside) is unknown, which its words tell before any n-gram is formed.
 
 Nulls: a null text has no paragraphs. Repeated rows and lines are classified alike. The notices are
 the standard short forms of public licences.
@@ -76,10 +76,11 @@ PLAIN: tuple[str, ...] = (
     "The foundation of the house is of stone.",
 )
 # Stop words.
-STOP = ("a", "all", "and", "any", "are", "at", "be", "by", "can", "for", "from", "has", "have", "in", "is", "it", "may", "met", "no", "not", "of", "on", "or", "part", "that", "the", "this", "to", "under", "use", "with", "without", "you")
+STOP = ("a", "all", "along", "an", "and", "any", "are", "as", "at", "be", "been", "by", "can", "for", "from", "has", "have", "in", "is", "it", "may", "met", "new", "no", "not", "of", "on", "or", "part", "that", "the", "this", "to", "under", "use", "with", "without", "you")
 
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CONFIRM = 0.5
+LEAST_CUES = 2
 UNKNOWN = "unknown"
 
 
@@ -137,17 +138,17 @@ def _cut(text: str) -> list[str]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(text_key, line, paragraph, w) of the distinct texts' lines that hold a word of the notices which is no stop word."""
+    """(text_key, line, paragraph, w) of the lines that hold LEAST_CUES distinct words of the notices which are no stop words."""
     cues = {w for _, t in NOTICES for w in _cut(t)} - set(STOP)
     lines = docs.select(F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    return lines.withColumn("w", tokens(F.col("paragraph"))).where(F.arrays_overlap("w", _strings(cues)))
+    return lines.withColumn("w", tokens(F.col("paragraph"))).where(F.size(F.array_intersect("w", _strings(cues))) >= LEAST_CUES)
 
 
 def classify(told: DataFrame) -> DataFrame:
-    """(paragraph_key, family, probability, confirmed) of the distinct paragraphs that are believed to be notices. told: paragraph, w."""
+    """(paragraph_key, family, probability, confirmed) of the distinct paragraphs that are believed to be notices. told: paragraph_key, w."""
     weights, classes, bias, least = train(told.sparkSession)
     n = range(len(classes))
-    distinct = told.groupBy(F.xxhash64("paragraph").alias("paragraph_key")).agg(F.first("w").alias("w"))
+    distinct = told.groupBy("paragraph_key").agg(F.first("w").alias("w"))
     distinct = materialize(distinct, "licence-paragraphs")
     flat = weights.select("feature", *[F.col("weights")[i].alias(f"w{i}") for i in n])  # as many rows as the notices have n-grams
     sums = distinct.select("paragraph_key", F.explode(features("w")).alias("feature")).join(F.broadcast(flat), "feature").groupBy("paragraph_key").agg(*[(F.sum(f"w{i}") + F.lit(bias[i])).alias(f"z{i}") for i in n])
@@ -167,8 +168,8 @@ def classify(told: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (believed to be notices), n_confirmed, families (of confirmed lines, comma-joined), lines (line:family of all, from 1), probability (the greatest) of each document."""
-    told = materialize(paragraphs(docs), "licence-lines")
-    found = told.select("text_key", "line", F.xxhash64("paragraph").alias("paragraph_key")).distinct().join(classify(told), "paragraph_key")
+    told = materialize(paragraphs(docs).select("text_key", "line", F.xxhash64("paragraph").alias("paragraph_key"), "w"), "licence-lines")
+    found = told.select("text_key", "line", "paragraph_key").distinct().join(classify(told), "paragraph_key")
     each = F.array_sort(F.collect_list(F.struct("line", "family")))
     texts = found.groupBy("text_key").agg(F.count("*").alias("n_lines"), F.count_if("confirmed").alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.array_join(F.transform(each, lambda x: F.concat_ws(":", (x["line"] + 1).cast("string"), x["family"])), ",").alias("lines"), F.max("probability").alias("probability"))
     zero = F.lit(0).cast("long")
