@@ -143,11 +143,11 @@ def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, mask): bit i is set if the text may match rules[i]. Rules that scan fully are not in it."""
+    """(key, __mask): bit i is set if the text may match rules[i]. Rules that scan fully are not in it."""
     clauses = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("rule", "clause", "trigram", "size"), (i, j, t, len(c)))]) for i, r in enumerate(rules) for j, c in enumerate(sorted(map(sorted, trigram_query(r.pattern)))) for t in c]
     table = index.sparkSession.range(1).select(F.inline(F.array(*clauses)))
     met = index.distinct().join(F.broadcast(table), "trigram").groupBy("key", "rule", "clause").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size")
-    return met.groupBy("key").agg(F.expr("bit_or(shiftleft(1L, rule))").alias("mask"))
+    return met.groupBy("key").agg(F.expr("bit_or(shiftleft(1L, rule))").alias("__mask"))
 
 
 _FRAME = "\u0001"
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     masks = candidates(postings(own.select(F.col("__text").alias("text")), rules), rules).withColumnRenamed("key", "__key")
     met = own.withColumn("__key", text_key(F.col("__text"))).join(masks, "__key", "left")
     for i in range(len(rules)):
-        may = F.lit(True) if i in full else F.coalesce(F.shiftright(F.col("mask"), i) % 2 == 1, F.lit(False))
+        may = F.lit(True) if i in full else F.coalesce(F.shiftright(F.col("__mask"), i) % 2 == 1, F.lit(False))
         met = met.withColumn(f"__s{i}", _spans("__text", may, rules, i))
     return met.select(*names, "__text", F.array_sort(F.concat(*[F.col(f"__s{i}") for i in range(len(rules))])).alias("__spans"))
 

@@ -1,0 +1,529 @@
+"""Operators against brute force on small tables with odd rows."""
+
+import base64
+import binascii
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from seams.llm import decontaminate, graph, jaccard_join, licences, lm_ppm, packing, quality, secrets, suffix_dedup, toxicity, warc
+from seams.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, mask int"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" + rng.choice(["", "", ".", ",", "é"]) for _ in range(n))
+
+
+def texts(seed=1):
+    """Copies, near copies, shared passages, repeats inside, empties, nulls, a long text."""
+    rng = random.Random(seed)
+    base = [words(rng, n) for n in (3, 5, 8, 12, 20, 40, 60, 80, 120, 200, 300)]
+    out = [None, "", "   \n\t", "one", "ONE", "a b c d", "A  b c d", "a b c d e f", *base, base[6], base[6], base[9].upper()]
+    for b in base[5:]:
+        for _ in range(3):
+            w = b.split()
+            for _ in range(max(1, len(w) // 60)):
+                w[rng.randrange(len(w))] = "edit%d" % rng.randrange(1000)
+            out.append(" ".join(w))
+    passage = words(rng, 70)
+    out += [words(rng, 50) + " " + passage + "\n" + words(rng, 60) for _ in range(6)]
+    out += ["la " * 300, base[8] + "\n" + base[8], words(rng, 6000)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "fr", None][i % 3], "s", len(t or ""), "clash", 1) for i, t in enumerate(texts())]
+    rng = random.Random(3)
+    rng.shuffle(rows)
+    return spark.createDataFrame([*rows, rows[5]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# 1
+
+
+def marks(text, items):
+    pattern = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    w, hit, found = pattern.findall((text or "").translate(LOWER)), set(), set()
+    for i, item in items:
+        v = pattern.findall((item or "").translate(LOWER))
+        k = min(10, len(v))
+        windows = {tuple(v[j : j + k]) for j in range(len(v) - k + 1)} if k else set()
+        for j in range(len(w) - k + 1 if k else 0):
+            if tuple(w[j : j + k]) in windows:
+                hit.update(range(j, j + k))
+                found.add(str(i))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_decontamination_finds_every_window(spark, docs, empty, limit):
+    rows = docs.collect()
+    long = [r.text for r in rows if r.text and len(r.text.split()) > 100]
+    items = [(1, " ".join(long[0].split()[30:60])), (2, " ".join(long[1].upper().split()[5:15])), (3, "A b"), (4, None), (5, ""), (12, " ".join(long[0].split()[30:40])), (1, " ".join(long[0].split()[30:60])), (7, "zz " * 12)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.annotate(docs.select("doc_id", "text", "mask"), bench, broadcast_bytes=limit).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == marks(r.text, items)
+    assert {r.contaminated for r in got} == {True, False}
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(not r.contaminated for r in got)
+    assert decontaminate.annotate(empty, bench).count() == 0
+    assert not any(r.contaminated for r in decontaminate.annotate(docs, bench.limit(0)).collect())
+
+
+# 2
+
+
+def clusters(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").translate(LOWER).encode().split()
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for x in ids:
+        for y in ids:
+            if x < y and sets[x] and sets[y]:
+                both = len(sets[x] & sets[y])
+                if 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                    a, b = find(x), find(y)
+                    parent[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("rounds", "cost"), [(2, 32), (1, 0.001), (1, 1e9)])
+def test_jaccard_components_are_exact(docs, empty, monkeypatch, rounds, cost):
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "STAR_PLACES", 1)
+    monkeypatch.setattr(jaccard_join, "SUBSET_COST", cost)  # nearly all light, or all heavy
+    want = clusters((r.doc_id, r.text) for r in docs.collect())
+    got = jaccard_join.cluster(docs).collect()
+    assert len(got) == docs.count()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    if rounds == 2:
+        kept = jaccard_join.keep_first(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
+        assert jaccard_join.cluster(empty).count() == 0
+
+
+def test_jaccard_boundary_case(spark):
+    # 7 shared of 9: 77 %; 6 of 8: exactly 75 %
+    w = [f"x{i}" for i in range(40)]
+    rows = [(1, " ".join(w[:12])), (2, " ".join(w[:11] + ["q"])), (3, " ".join(w[:11] + ["r", "s"])), (None, " ".join(w[:12]))]
+    got = jaccard_join.cluster(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = clusters([(i if i is not None else 99, t) for i, t in rows])
+    assert {(r.doc_id if r.doc_id is not None else 99): (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+
+
+# 3
+
+
+def test_warc_round_trip(spark):
+    rows = [(3, "http://a", "<p>é</p>"), (1, "http://b\r\nX: y", "<p>é</p>"), (2, None, None), (4, "u", ""), (5, "v", "x" * 200_000), (None, "w", "<p>é</p>"), (1, "http://b", "<p>é</p>"), (9, "z", "only")]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(rows)
+    want = Counter()
+    for p, _, h in rows:
+        b = (h or "").encode()
+        want[p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == want
+    kinds = sorted((str(r.page_id), r.record_type, r.refers_to) for r in got)
+    assert kinds == sorted([("1", "response", None), ("1", "revisit", 1), ("3", "revisit", 1), ("None", "revisit", 1), ("2", "response", None), ("4", "revisit", 2), ("5", "response", None), ("9", "response", None)])
+    high = warc.archive_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), min_bytes=5).collect()
+    assert sum(r.record_type == "revisit" for r in high) == 3
+    assert warc.archive_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_archives_are_gzip_members(spark, tmp_path):
+    import gzip
+
+    writer = warc.Writer(str(tmp_path), roll=100)
+    at = [writer.add(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>")], warc.http_block(b"x" * i))) for i in range(5)]
+    writer.close()
+    assert len({a for a, _, _ in at}) > 1
+    for name in {a for a, _, _ in at}:
+        with open(name, "rb") as f:
+            whole = gzip.decompress(f.read())
+        assert b"".join(raw for _, _, raw in warc.members(name, piece=7)) == whole
+
+
+# 4
+
+
+def test_scores_equal_a_plain_trie(spark, docs, empty):
+    rows = [(r.doc_id, r.text or "") for r in docs.collect() if len(r.text or "") < 3000]
+    own = spark.createDataFrame([*rows, (None, "null id"), (77, "ß\u0001€ long tail")], "doc_id bigint, text string")
+    trie, count, learnt = lm_ppm.Trie(), Counter(), 0
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in own.collect()}
+    for i, t in own.collect():
+        if not held[i]:
+            trie.learn(t.encode())
+            count.update(t.translate(LOWER).encode().split())
+            learnt += 1
+    total, distinct = sum(count.values()) + learnt, len(count) + 1
+    got = lm_ppm.score_documents(own, chunk_bytes=4000).collect()
+    assert len(got) == own.count()
+    text = dict(own.collect())
+    for r in got:
+        w = text[r.doc_id].translate(LOWER).encode().split()
+        c = [count[x] for x in w] + [learnt]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(c), sum(x > 0 for x in c), total)
+        assert r.base_score == pytest.approx(sum(math.log10((x + 0.1) / (total + 0.1 * (distinct + 1))) for x in c), rel=1e-9)
+        assert r.score == pytest.approx(trie.score(text[r.doc_id].encode()), rel=1e-9)
+    assert lm_ppm.score_documents(empty).count() == 0
+    none = lm_ppm.score_documents(own.where("doc_id is not null").limit(1), held=own.doc_id >= 0).first()
+    assert none.score == pytest.approx(-(len(text[none.doc_id].encode()) + 1) * math.log10(257)) and none.n_known == 0
+
+
+def test_probabilities_sum_to_one_and_adaptive_mode(spark):
+    trie = lm_ppm.Trie(3)
+    trie.learn(b"abracadabra")
+    for past in [(97, 98, 114), (256, 256, 256), (1, 2, 3)]:
+        assert sum(10 ** trie.log10(past, s) for s in range(257)) == pytest.approx(1)
+    row = lm_ppm.code_lengths(spark.createDataFrame([(1, "abab" * 20), (2, None)], "doc_id bigint, text string")).collect()
+    assert 0 < row[0].bits < 8 * 80 and row[1].bits == pytest.approx(math.log2(257))
+
+
+# 5
+
+
+def removed(rows, length=100):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
+            gone[s : s + length] |= w in seen
+            seen.add(w)
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone]) if len(b) else b""
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_repeats_are_removed_exactly(spark, docs, empty):
+    rows = [(r.doc_id, r.text) for r in docs.dropDuplicates(["doc_id"]).collect()]
+    rng = random.Random(9)
+    blob = "".join(rng.choice("ab") for _ in range(400))
+    rows += [(1000, blob), (1001, "zz" + blob[:150] + blob[140:]), (1002, "é" * 130), (1003, blob[:99]), (1004, blob[:100]), (-5, blob[50:250])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(rows)
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_repeats_in_a_text_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.tc, "BLOCK", 2000)
+    rng = random.Random(2)
+    long = "".join(chr(97 + rng.randrange(20)) for _ in range(9000))
+    rows = [(1, long), (2, "x" + long[3000:7000] + "y"), (3, long[:50] + long[8000:])]
+    parts = list(suffix_dedup.segments(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)])))
+    assert len(parts) > 3
+    starts = {int(shift[0]) + s for raw, at, row, shift in parts for g, c, r, st, sd in [suffix_dedup.runs(raw, at)] for a, o in zip(st, c) for s in range(int(a), int(a) + (int(o) >> 8 & 127) + 1)}
+    assert starts == set(range(len(long) - 99))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(rows)
+
+
+def test_bucket_pointers_tell_strings_apart():
+    rng = random.Random(4)
+    data = np.frombuffer("".join(rng.choice("ab") for _ in range(3000)).encode() * 2, np.uint8)
+    at = np.arange(len(data) - 99)
+    got = suffix_dedup.bucket_pointers(data, at)
+    raw = data.tobytes()
+    assert len(set(got.tolist())) == len({raw[i : i + 100] for i in at}) == len({(raw[i : i + 100], g) for i, g in zip(at, got.tolist())})
+
+
+def test_repeated_and_null_ids(spark):
+    x = "abcdefghij" * 30
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(1, x), (1, x), (None, x), (None, None), (2, "")], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(0, 0, 0), (0, 300, 300), (1, 300, 290), (1, 300, 290), (2, 0, 0)]
+
+
+# 6
+
+
+def test_licences(spark, docs, empty):
+    rows = [(1, "x y\nLicensed under the Apache License, Version 2.0.\nz"), (2, "Released under the MIT License."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), (5, "the public library has a free copy of the software"), (6, None), (7, ""), (7, "Released under the MIT License.")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.families, r.n_confirmed) for r in got) == [(1, "apache", 1), (2, "mit", 1), (3, "gpl", 1), (4, "cc-by-nc,mit", 2), (5, "", 0), (6, "", 0), (7, "", 0), (7, "mit", 1)]
+    assert next(r.lines for r in got if r.doc_id == 4) == "1:cc-by-nc,2:mit"
+    found = licences.scan(docs)
+    assert found.count() == docs.count() and found.where("n_lines > 0").count() == 0
+    plan = found._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    assert licences.scan(empty).count() == 0
+
+
+# 7
+
+
+def spans(text):
+    out = []
+    for k, r in enumerate(secrets.RULES):
+        for m in re.finditer(r.pattern, text):
+            if len(m[r.group]) >= r.least:
+                out.append((m.start(), k, m.end()))
+    return ",".join(f"{secrets.RULES[k].kind}:{a}:{b}" for a, k, b in sorted(out))
+
+
+SECRETS = ["password = 'abcdefghijklmnop'", "é PASSWORD: short", "token=secret=abcdefghijkl", "token=password: abcdefghijklm", "api_key:AbC123+/=.-_xyz apikey=\"0123456789abcdef0123\"", "AKIA" + "B" * 14 + " AKIAB", "AKIAAKIA" + "C" * 12, "0123456789abcdef" * 3 + " 0123456789abcde", "ghp_" + "a" * 36 + " xoxb-1234567890-abc", "AIza" + "x" * 35, "sk_live_" + "q" * 16, "eyJ" + "a" * 8 + "." + "b" * 8 + "." + "c" * 8, "-----BEGIN RSA PRIVATE KEY-----", "postgres://user:pw@host", "\u0001 secret=\u0001 secret=aaaaaaaaaaaaaaa \u0002", None, "", "𝄞 token=bbbbbbbbbbbbbb " * 400]
+
+
+def test_secrets_equal_plain_regexes(spark, docs, empty):
+    rows = [(i, t) for i, t in enumerate(SECRETS)] + [(1000 + r.doc_id, r.text) for r in docs.limit(20).collect()]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = by_id(secrets.report(frame))
+    for i, t in rows:
+        want = spans(t or "")
+        base = ",".join(s for s in want.split(",") if s.split(":")[0] in ("assign", "access", "hex"))
+        assert got[i].spans == want
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(base.split(",").count("") * 0 + sum(s.startswith(k + ":") for s in base.split(",")) for k in ("assign", "access", "hex"))
+    assert not re.search("Python|Pandas|Arrow", secrets.report(frame)._jdf.queryExecution().toString())
+    assert secrets.report(empty).count() == 0
+
+
+def test_base_hex_and_access_are_those_of_the_short_patterns():
+    rng = random.Random(6)
+    for _ in range(300):
+        t = "".join(rng.choice("AKIAab09 f") * rng.randrange(1, 6) for _ in range(30))
+        for k, pattern, least in ((1, "AKIA[A-Z0-9]+", 18), (2, "[0-9a-f]+", 16)):
+            r = secrets.RULES[k]
+            assert [m.span() for m in re.finditer(pattern, t) if len(m[0]) >= least] == [m.span() for m in re.finditer(r.pattern, t) if len(m[0]) >= r.least]
+
+
+def test_trigram_queries_hold_for_every_match():
+    for r in secrets.RULES:
+        q = secrets.trigram_query(r.pattern)
+        for t in SECRETS:
+            if t and re.search(r.pattern, t):
+                assert any(all(g in t.lower() for g in c) for c in q)
+    assert secrets.trigram_query("[0-9a-f]{16,}") == secrets.ALWAYS
+    assert secrets.trigram_query("abcd|x") == secrets.ALWAYS
+    assert secrets.trigram_query("(foo|bar)baz*") == frozenset({frozenset({"foo", "oob", "oba"}), frozenset({"bar", "arb", "rba"})})
+
+
+def test_redaction(spark):
+    rows = [(1, "a token=bbbbbbbbbbbbbb c 0123456789abcdef0", 41, "x"), (2, "plain", 5, "y"), (3, None, None, "z")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, mask string")
+    got = by_id(secrets.redact(frame))
+    assert got[1].text == "a [SECRET] c [SECRET]" and got[1].n_chars == 21 and got[1].mask == "x"
+    assert (got[2].text, got[2].n_chars, got[3].text, got[3].n_chars) == ("plain", 5, None, None)
+
+
+# 8
+
+
+def test_pieces_and_packing(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame([(5000, "a <|endoftext|> b"), (None, "null id")], "doc_id bigint, text string"))
+    got = packing.pack(frame, tokenizer_path()).collect()
+    text = {r.doc_id: r.text for r in frame.collect()}
+    ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for i, t in text.items()}
+    for r in got:
+        own = ids[r.doc_id]
+        assert r.doc_tokens == len(own) and r.ids_crc32 == binascii.crc32(np.array(own[r.start : r.start + r.length], "<u4").tobytes())
+    assert sum(r.length for r in got) == sum(len(ids[r.doc_id]) for r in frame.collect())
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert packing.pack(empty, tokenizer_path()).count() == 0
+
+
+def test_plan_leaves_little_slack():
+    rng = random.Random(8)
+    counts = Counter(rng.randrange(1, 1024) for _ in range(5000))
+    rows = packing.plan(counts)
+    used, fill = Counter(), Counter()
+    for length, a, b, n, sequence, offset in rows:
+        assert a == used[length] and (b - a) % n == 0
+        used[length] = b
+        for k in range((b - a) // n):
+            fill[sequence + k] += n * length
+    assert used == counts and max(fill.values()) <= 1024
+    assert sum(fill.values()) / (1024 * len(fill)) > 0.99
+    best = packing.best_fill({7: 3, 5: 2, 3: 1}, 20)
+    assert sum(k * n for k, n in best.items()) == 20 and all(n <= {7: 3, 5: 2, 3: 1}[k] for k, n in best.items())
+    exact = max(s for s in range(21) for a in range(4) for b in range(3) for c in range(2) if a and 7 * a + 5 * b + 3 * c == s)
+    assert exact == 20
+
+
+# 9
+
+
+def counted(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = t.split("\n")
+    dup = sum(1 for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x) and x in lines[:i])
+    often = Counter(zip(w, w[1:], w[2:]))
+    at = {j for i in range(len(w) - 2) if often[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(at)
+
+
+def test_quality_counts(spark, docs, empty):
+    extra = ["a\nb\n\n \na\na", "x y z x y z x y", "#*$%&|<> é é", "l\n" * 5, "a b a b a b a"]
+    frame = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(7000 + i, t, "en") for i, t in enumerate(extra)], "doc_id bigint, text string, lang string"))
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, quality int")
+    got = quality.verdicts(frame, labels).collect()
+    text = {r.doc_id: r.text for r in frame.collect()}
+    assert len(got) == frame.count()
+    for r in got:
+        want = counted(text[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and r.kept == (not r.base_failed)
+    assert quality.verdicts(empty, labels.limit(0)).count() == 0
+
+
+def test_bounds_are_exact():
+    def cdf(k, n, p):
+        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+    for n, k, a, d in [(100, 0, 0.05, 0.01), (100, 0, 0.05, 0.005), (500, 10, 0.05, 0.01), (500, 14, 0.05, 0.01), (10, 0, 0.3, 0.05), (0, 0, 0.1, 0.1)]:
+        assert quality.certified(n, k, a, d) == (n > 0 and k < n * a and cdf(k, n, a) <= d)
+
+
+def test_cutoffs_hold_their_risk(spark):
+    rng = random.Random(11)
+    rows, marks_ = [], []
+    for i in range(4000):
+        bad = i % 5 == 0
+        w = [f"w{rng.randrange(5000)}" + ("###" if bad and rng.random() < 0.9 else "") for _ in range(60)]
+        rows.append((i, " ".join(w), "en"))
+        marks_.append((i, 0 if bad else 1))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = by_id(quality.verdicts(frame, spark.createDataFrame(marks_, "doc_id bigint, quality int")))
+    clean = [got[i].kept for i, q in marks_ if q]
+    bad = [got[i].kept for i, q in marks_ if not q]
+    assert np.mean(clean) > 0.98 and np.mean(bad) < 0.05
+    few = by_id(quality.verdicts(frame, spark.createDataFrame(marks_[:200], "doc_id bigint, quality int")))
+    assert all(few[i].kept for i, _ in marks_)  # too few labels certify nothing
+
+
+# 10
+
+
+def test_toxicity(spark, empty):
+    rng = random.Random(12)
+    rows, marks_ = [], []
+    for i in range(1500):
+        w = [f"w{rng.randrange(800)}" for _ in range(rng.randrange(5, 80))]
+        bad = i % 6 == 0
+        if bad:
+            for _ in range(2):
+                w[rng.randrange(len(w))] = rng.choice(["idiot", "scumbag", "loweie", "loweiung"])
+        rows.append((i, " ".join(w), ["en", None][i % 2]))
+        marks_.append((i, int(bad)))
+    frame = spark.createDataFrame([*rows, (9000, None, "en"), (9001, "", "xx"), (None, "x idiot", "en")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([*marks_, (None, 1)], "doc_id bigint, toxic int")
+    got = toxicity.classify(frame, labels).collect()
+    assert len(got) == frame.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
+    truth = dict(marks_)
+    assert np.mean([r.predicted == truth.get(r.doc_id, 0) for r in held]) > 0.97
+    # labels of held-out rows teach nothing
+    flipped = spark.createDataFrame([(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in marks_] + [(None, 1)], "doc_id bigint, toxic int")
+    again = {r.doc_id: r.score for r in toxicity.classify(frame, flipped).collect()}
+    assert all(again[r.doc_id] == pytest.approx(r.score, abs=1e-9) for r in got)
+    assert toxicity.classify(empty, labels).count() == 0
+    assert {r.score for r in toxicity.classify(frame.limit(20), labels.limit(0)).collect()} == {0.0}
+
+
+# pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    good = [words(rng, 120, 3000) for _ in range(12)]
+    item = words(rng, 30, 3000)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(good)]
+    rows += [(20, good[0], "en", "s", 1), (21, "too short", "en", "s", 1), (22, words(rng, 60, 3000) + " " + item + " " + words(rng, 60, 3000), "fr", "s", 1), (23, words(rng, 80, 3000) + " token=abcdefghijklmnop", "en", "s", 1), (24, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == columns
+        ids.append(sorted(r.doc_id for r in docs.collect()))
+    assert ids[0] == [*range(12), 20, 22, 23] and ids[1] == [*range(12), 22, 23] and ids[2] == ids[3] == [*range(12), 23]
+    assert "[SECRET]" in docs.where("doc_id = 23").first().text
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted({r.doc_id for r in out.collect()}) == ids[3]
+
+
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
+    rng = random.Random(14)
+    samples = [words(rng, 40) + t for t in ("", "  x\n\n y", " don't I'LL 12,345.67 ½ ñandú 日本語 ‍👩‍🚀", "\t\r\n", " a b", "<|endoftext|>")]
+    samples += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 1000), rng.randrange(0x4E00, 0x9FFF), 10, 32])) for _ in range(200)) for _ in range(50)]
+    for t in samples:
+        assert encode(t) == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_json_vocabulary_is_the_rank_order():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    vocabulary = spec["model"]["vocab"]
+    merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
+    assert all(vocabulary[m.replace(" ", "")] == 256 + i for i, m in enumerate(merges))
