@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,17 +17,21 @@ from seams.checkpoints import settle
 MOST_EDGES = 2_000_000
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 5, most: int = MOST_EDGES) -> DataFrame:
     """(unit_id, pagerank) by power iteration over weighted edges (source, target, weight).
 
     The mass of nodes without outgoing edges is spread evenly. Stops when the sum of changes
-    is below n x tolerance; after `rounds` it raises, unless tolerance is 0. A round is a join and an
-    aggregation; every few rounds the ranks are checkpointed, which ends their lineage.
+    is below n x tolerance; after `rounds` it raises, unless tolerance is 0. A graph of at most MOST_EDGES
+    nodes and edges (they are counted) is ranked in memory; in a larger one a round is a join
+    and an aggregation, and every few rounds the ranks are checkpointed, which ends their lineage.
     """
     nodes = nodes.select("unit_id").distinct().cache()
     n = nodes.count()
     if not n:
         return nodes.withColumn("pagerank", F.lit(0.0))
+    if n <= most and edges.count() <= most:
+        names = np.sort(nodes.toPandas().unit_id.to_numpy(str))
+        return nodes.sparkSession.createDataFrame(pd.DataFrame({"unit_id": names, "pagerank": _ranks(names, edges.groupBy("source", "target").agg(F.sum("weight").cast("double").alias("weight")).toPandas(), alpha, rounds, tolerance)}))
     out = edges.groupBy("source").agg(F.sum("weight").alias("total"))
     moves = edges.groupBy("source", "target").agg(F.sum("weight").alias("weight")).join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")).cache()
     ends = nodes.join(out, F.col("unit_id") == F.col("source"), "left_anti").cache()
@@ -46,6 +52,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
     return ranks.withColumnRenamed("rank", "pagerank")
 
 
+def _ranks(names: np.ndarray, edges: pd.DataFrame, alpha: float, rounds: int, tolerance: float) -> np.ndarray:
+    n = len(names)
+    source, target = (np.searchsorted(names, edges[c].to_numpy(str)) for c in ("source", "target"))
+    total = np.bincount(source, edges.weight, n)
+    share, ends = edges.weight.to_numpy() / total[source], total == 0
+    rank = np.full(n, 1 / n)
+    for _ in range(rounds):
+        old = rank
+        rank = (1 - alpha) / n + alpha * (np.bincount(target, old[source] * share, n) + old[ends].sum() / n)
+        if tolerance and np.abs(rank - old).sum() < n * tolerance:
+            return rank
+    if tolerance:
+        raise ArithmeticError(f"ranks have not settled in {rounds} rounds")
+    return rank
+
+
 def paths_through(source: str, out: dict[str, list[tuple[str, float]]]) -> dict[str, float]:
     """Brandes' dependencies of one source on all other nodes, with weights as distances."""
     order, before, count, far = [], {source: []}, {source: 1.0}, {}

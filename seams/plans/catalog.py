@@ -345,9 +345,9 @@ _DIR = "case when lead_ab + lead_ba > 0 then abs(lead_ab - lead_ba) / (lead_ab +
 
 
 def _rolled(spark, d):
-    files = _brand_files(spark, d)
+    files = settle(_brand_files(spark, d))
     owners = files.select("path").distinct().select("path", F.col("path").alias("unit"))
-    return files, owners, evolution.unit_rollup(evolution.cochange(files, _ages(spark, d)), owners)
+    return files, owners, settle(evolution.unit_rollup(evolution.cochange(files, _ages(spark, d)), owners))
 
 
 @query(f"with {_LEAD} select comp_a, comp_b, lead_ab, lead_ba, round({_DIR}, 6) + 0.0 as change_sequence_directionality from di")
@@ -489,11 +489,14 @@ pf as (select ca.comp_a, ca.comp_b, cast(coalesce(cw.w, 0) as double) as structu
 
 def _brand_parts(spark, d):
     """units, edges, sims, behavior and evolution of brands."""
-    units = _brands(spark, d)
-    calls = behavior.call_counts(_traces(spark, d)).where("src <> dst")
+    units = settle(_brands(spark, d))
+    traces = settle(_traces(spark, d))
+    every = settle(behavior.call_counts(traces))
+    calls = every.where("src <> dst")
     edges = calls.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.when(F.col("calls") >= 5, "strong_import").otherwise("import").alias("kind"), F.col("calls").alias("weight"))
     sims = similarity.cosine_pairs(similarity.tfidf(table(spark, d, "part").select(F.col("p_brand").alias("unit"), F.concat_ws(" ", "p_name", "p_type").alias("text"))))
-    return units, edges, sims, _behavior(spark, d), _evolution(spark, d)
+    runtime = behavior.pair_features(every, behavior.window_pairs(traces), behavior.totals(traces), units)
+    return units, edges, settle(sims), settle(runtime), settle(_evolution(spark, d))
 
 
 def _candidates(spark, d):
@@ -503,7 +506,6 @@ def _candidates(spark, d):
 
 def _features(spark, d):
     units, edges, sims, runtime, history = _brand_parts(spark, d)
-    edges = edges.cache()
     found = pairs.candidates(edges, sims, runtime, history, units)
     centrality = graph.pagerank(units, edges, rounds=10, tolerance=0.0).withColumn("betweenness", F.lit(0.0))
     semantic = spark.createDataFrame([], "a string, b string, sim double")
@@ -588,13 +590,12 @@ _CHANNELS = _CHANNELS.replace("{name}", _sql_name("comp_a", "comp_b"))
 
 
 def _scored(spark, d):
-    labels = _latest(spark, d).select("comp_a", "comp_b", "label")
-    return rank.channels(pairs.with_labels(_features(spark, d), labels)), labels
+    labels = settle(_latest(spark, d).select("comp_a", "comp_b", "label"))
+    return settle(rank.channels(pairs.with_labels(_features(spark, d), labels))), labels
 
 
 def _ranked(spark, d):
     scored, labels = _scored(spark, d)
-    scored = scored.cache()
     return rank.composite(scored, rank.adaptive_weights(scored, labels))
 
 
@@ -641,7 +642,8 @@ _SMALL = EngineConfig(trees=20)
 
 
 def _model(spark, d):
-    labelled = pairs.with_labels(_features(spark, d), _latest(spark, d).select("comp_a", "comp_b", "label")).cache()
+    labelled = pairs.with_labels(_features(spark, d), _latest(spark, d).select("comp_a", "comp_b", "label"))
+    labelled = settle(labelled)
     return labelled, rank.train(labelled, _SMALL)
 
 
