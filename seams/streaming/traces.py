@@ -14,7 +14,7 @@ from seams.operators.behavior import parse_lines
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
     """(file, seq, line) of the text files that appear in a folder."""
-    raw = spark.readStream.option("wholetext", "true").text(folder)
+    raw = spark.readStream.text(folder, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("seq", "line"))
 
 
