@@ -16,11 +16,12 @@ class go no further. What is left is joined by size:
 The boundary is the size at which the sum of subsets to enumerate below it and of list
 entries to scan above it is least, from the measured counts.
 
-Groups are never expanded into all pairs. First each group (a subset or list, by size
-band) links its members to its most central class, over a few rounds, each verified
-exactly; then only pairs of classes that are still in different components, of fitting
-sizes, and that the positions of their shared shingles allow, are verified. So no link
-between components is lost, and a group of copies costs its size.
+Groups are never expanded into all pairs. First the lists of a few of each class's shingles,
+by size band, link their members to their most central class, then, over a few rounds,
+to random members of other components, each link verified exactly. Then shingles that are in one component only are dropped, and the join
+runs on the rest: only pairs of classes in different components, of fitting sizes,
+and that the positions of their shared shingles allow, are verified. So no link between
+components is lost, and a group of copies costs its size.
 
 Nulls and empty texts: no set, a component of their own (doc_id itself). A null doc_id has the
 least id of its component, if that has any. Repeated rows are copies.
@@ -48,8 +49,16 @@ COMMON = 512
 #: Bound of the common shingles that tasks are told; others keep their place by hash.
 MOST_COMMON = 200_000
 CHUNK = 1 << 21
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
+PARTS = 16
+STAR_LISTS = 3
+#: Star rounds end when they link fewer than one in so many list entries.
+STAR_LEAST = 1000
+#: Classes that share this part of their prefix have their sets read first; others when a pair asks for them.
+LIKELY = 0.25
 BROADCAST_ROWS = 1_000_000
+#: What forming and shuffling a subset costs, in list entries scanned (which are met inside a join and seldom leave it).
+SUBSET_COST = 32
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,13 +78,13 @@ def _sig(s: np.ndarray) -> int:
 
 
 def _text(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(*more, F.col("text"), F.xxhash64("text").alias("text_key"))
+    return docs.select(*more, F.col("text"), F.xxhash64("doc_id", "text").alias("row_key"))
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, text_key, n, sig) of each document; kind 1: a shingle (sig) common in n documents of a chunk."""
+    """kind 0: (doc_id, row_key, n, sig) of each document; kind 1: a shingle (sig) common in n documents of a chunk."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["kind", "doc_id", "text_key", "n", "sig"]
+    names = ["kind", "doc_id", "row_key", "n", "sig"]
 
     def common(held: list[np.ndarray], docs_: int, like: pa.Array) -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(held), return_counts=True)
@@ -99,7 +108,7 @@ def describe(docs: DataFrame) -> DataFrame:
         if held:
             yield common(held, count, like)
 
-    return _text(docs, "doc_id").mapInArrow(run, f"kind int, doc_id {kind}, text_key bigint, n bigint, sig bigint")
+    return _text(docs, "doc_id").mapInArrow(run, f"kind int, doc_id {kind}, row_key bigint, n bigint, sig bigint")
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -139,11 +148,16 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, items) of the classes of wanted (text_key)."""
+    """(sig, items) of the classes whose rows wanted (row_key) names; a row that is repeated gives its class again."""
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     names = ["sig", "items"]
 
+    def packed(rows):
+        off = np.cumsum([0, *(len(s) for _, s in rows)]).astype(np.int32)
+        items = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([s for _, s in rows]).view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), items], names)
+
     def run(batches):
         seen = set()
         for batch in batches:
@@ -159,29 +173,61 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if rows:
                 yield packed(rows)
 
-    def packed(rows):
-        off = np.cumsum([0, *(len(s) for _, s in rows)]).astype(np.int32)
-        items = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([s for _, s in rows]).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), items], names)
+    return _text(docs).join(wanted, "row_key", "left_semi").select("text").mapInArrow(run, "sig bigint, items array<bigint>")
 
-    sets = _text(docs).join(wanted, "text_key", "left_semi").select("text").mapInArrow(run, "sig bigint, items array<bigint>")
-    return sets.groupBy("sig").agg(F.first("items").alias("items"))
+
+def _with(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with columns of rows (sig) for both sides, those of b with a 2.
+
+    Only rows in pairs are moved: one for each pair's b, to where the row of a waits once for many.
+    """
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    once = pairs.select("a", "part").distinct()
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs, once = F.broadcast(pairs), F.broadcast(once)
+    x = rows.select(F.col("sig").alias("a"), *columns).join(once, "a")
+    y = rows.select(F.col("sig").alias("b"), *[F.col(c).alias(f"{c}2") for c in columns]).join(pairs, "b")
+    return x.join(y, ["a", "part"])
+
+
+def _may(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs of fitting sizes that share enough of their prefixes.
+
+    Of the last prefix shingles of both take the one that is first in the order. All shingles up
+    to it are in both prefixes; behind it one set has n less its prefix, so the intersection
+    is at most what the prefixes share and the larger of these rests.
+    """
+    both = _with(pairs, heads, "n", "t")
+    return both.where(_enough(F.size(F.array_intersect("t", "t2")), F.col("n"), F.col("n2"))).select("a", "b")
+
+
+def _enough(shared: Column, a: Column, b: Column) -> Column:
+    """Whether sets of sizes a and b that share so many prefix shingles may link."""
+    rest = lambda n: F.floor((3 * n + 3) / 4) - 2
+    return _fits(a, b) & (7 * (shared + F.greatest(rest(a), rest(b))) >= 3 * (a + b))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that link, as edges (u, v)."""
-    left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
-    met = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
+    """Those of pairs (a, b) that link, as edges (u, v).
+
+    A sieve of 16 bits of each shingle goes first: sets share at most the 16-bit values that both have and
+    as many more as the one with fewer has shingles beyond its distinct values.
+    """
+    thin = sets.select("sig", F.size("items").cast("long").alias("n"), F.expr("array_distinct(transform(items, x -> cast(shiftright(shiftleft(x, 48), 48) as smallint)))").alias("w"))
+    both = _with(pairs, thin, "n", "w")
+    most = F.size(F.array_intersect("w", "w2")) + F.least(F.col("n") - F.size("w"), F.col("n2") - F.size("w2"))
+    good = materialize(both.where(100 * most >= PERCENT * (F.col("n") + F.col("n2") - most)).select("a", "b").distinct(), "jaccard-pairs")
+    both = _with(good, sets, "items")
+    met = both.select("a", "b", F.size(F.array_intersect("items", "items2")).cast("long").alias("i"), (F.size("items") + F.size("items2")).cast("long").alias("s"))
     return met.where(100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _boundary(shared: DataFrame) -> int:
     """The largest size of a light class."""
-    lists = shared.groupBy("token").agg(F.count("*").alias("entries"))
+    lists = shared.groupBy("token").agg(F.countDistinct("comp").alias("entries"))  # components meet before classes do
     own = shared.join(lists, "token").groupBy("sig").agg(F.first("n").alias("n"), F.count("*").alias("k"), F.sum("entries").alias("scan"))
     band = F.floor(F.log2("n") * 4).cast("int")
-    costs = sorted(own.groupBy(band.alias("band")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("subsets"), F.sum("scan").alias("scan"), F.max("n").alias("top")).collect())  # a row for each quarter of a power of two
+    costs = sorted(own.groupBy(band.alias("band")).agg(F.sum(SUBSET_COST * F.col("k") * (F.col("k") - 1) / 2).alias("subsets"), F.sum("scan").alias("scan"), F.max("n").alias("top")).collect())  # a row for each quarter of a power of two
     best, least = 2, sum(r.scan for r in costs)
     for i, r in enumerate(costs):
         cost = sum(x.subsets for x in costs[: i + 1]) + sum(x.scan for x in costs[i + 1 :])
@@ -191,12 +237,12 @@ def _boundary(shared: DataFrame) -> int:
 
 
 def groups(shared: DataFrame, boundary: int) -> DataFrame:
-    """(k1, k2, sig, n, place, heavy): members of subsets (k1, k2) of light classes and of lists (k1, null)."""
-    light = shared.where(F.col("n") <= boundary).groupBy("sig", "n").agg(F.array_sort(F.collect_list("token")).alias("t"))  # at most a prefix of `boundary` shingles
-    subsets = light.select("sig", "n", F.expr("inline(flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x as k1, y as k2)))))"))
-    subsets = subsets.select("k1", "k2", "sig", "n", F.lit(None).cast("int").alias("place"), F.lit(False).alias("heavy"))
+    """(k1, k2, sig, n, comp, heavy): members of subsets (k1, k2) of light classes and of lists (k1, null)."""
+    light = shared.where(F.col("n") <= boundary).groupBy("sig", "n", "comp").agg(F.array_sort(F.collect_list("token")).alias("t"))  # at most a prefix of `boundary` shingles
+    subsets = light.select("sig", "n", "comp", F.expr("inline(flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x as k1, y as k2)))))"))
+    subsets = subsets.select("k1", "k2", "sig", "n", "comp", F.lit(False).alias("heavy"))
     single = shared.where(F.col("place") < F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1)
-    lists = single.select(F.col("token").alias("k1"), F.lit(None).cast("long").alias("k2"), "sig", "n", "place", (F.col("n") > boundary).alias("heavy"))
+    lists = single.select(F.col("token").alias("k1"), F.lit(None).cast("long").alias("k2"), "sig", "n", "comp", (F.col("n") > boundary).alias("heavy"))
     scanned = lists.groupBy("k1").agg(F.max("heavy").alias("any"), F.count("*").alias("m")).where("any and m > 1").select("k1")
     return subsets.unionByName(lists.join(scanned, "k1", "left_semi"))
 
@@ -212,43 +258,82 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     by = W.partitionBy("token")
     shared = postings.withColumn("lo", F.min("sig").over(by)).withColumn("hi", F.max("sig").over(by)).where("lo < hi").select("token", "sig", "n", "place").distinct()
     shared = materialize(shared, "jaccard-shared")
-    wanted = described.where("kind = 0").join(shared.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("text_key").alias("text_key")).select("text_key")
-    sets = materialize(full_sets(docs, wanted), "jaccard-sets")
-    member = materialize(groups(shared, _boundary(shared)), "jaccard-groups")
-    weight = shared.groupBy("sig").agg((F.count("*") / F.first("n")).alias("weight"))
-    band = F.floor(F.log("n") / F.log(F.lit(4 / 3)))
-    key = ["k1", "k2", "band"]
-    member = member.withColumn("band", band)
+    heads = materialize(shared.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("t")), "jaccard-prefixes")  # at most a prefix each
+    likely = heads.where(F.size("t") >= LIKELY * (F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 2)).select("sig")
+    sets = materialize(_fetch(docs, described, likely), "jaccard-sets")
+    edges, comp = _stars(likely, heads, sets)
+    if comp is not None:
+        owned = shared.join(comp, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", "place", F.coalesce("root", "sig").alias("comp"))
+        mixed = owned.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        shared = materialize(owned.join(mixed, "token", "left_semi"), "jaccard-mixed")
+    else:
+        shared = shared.withColumn("comp", F.col("sig"))
+    held = heads.select("sig", F.size("t").alias("s")).where("s > 1")  # linked sets share two places at least
+    shared = shared.join(held.select("sig"), "sig", "left_semi")
+    pairs = materialize(_may(materialize(_rest(groups(shared, _boundary(shared)), held), "jaccard-pairs"), heads), "jaccard-pairs")
+    missing = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(likely, "sig", "left_anti")
+    if missing.limit(1).count():
+        sets = sets.unionAll(materialize(_fetch(docs, described, missing), "jaccard-sets"))
+    return edges.unionAll(_verified(pairs, sets))
+
+
+def _fetch(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
+    keys = described.where("kind = 0").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row_key").alias("row_key")).select("row_key")
+    return full_sets(docs, materialize(keys, "jaccard-wanted"))
+
+
+def _stars(likely: DataFrame, heads: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Verified links of list members to their list's most central class, then to random members, and the components these make.
+
+    A few lists of each class do: what they miss is left to the join.
+    """
+    own = materialize(heads.join(likely, "sig", "left_semi").select("sig", (F.size("t") / F.col("n")).alias("weight"), F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("band"), "t"), "jaccard-lists")
+    entries = STAR_LISTS * own.count()
     edges, comp = None, None
     for r in range(STAR_ROUNDS):
-        now = member.join(weight, "sig") if r == 0 else member.withColumn("weight", F.xxhash64("sig", F.lit(r)))
-        now = now.withColumn("comp", F.col("sig")) if comp is None else now.join(comp, now.sig == comp.node, "left").withColumn("comp", F.coalesce("root", "sig"))
-        centre = now.groupBy(*key).agg(F.max(F.struct("weight", "sig", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*key, F.col("c.sig").alias("centre"), F.col("c.comp").alias("other"))
-        same = [F.col(f"m.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
-        pairs = now.alias("m").join(centre.alias("c"), same[0] & same[1] & same[2]).where("comp <> other").select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b")).distinct()
+        # another permutation in each round: like sets agree on their first shingles
+        chosen = F.expr(f"slice(array_sort(transform(t, x -> struct(xxhash64(x, {r}) as h, x as token))), 1, {STAR_LISTS})")
+        first = own.select("sig", "weight", "band", F.explode(chosen).alias("x")).select("sig", "weight", "band", F.col("x.token").alias("token"))
+        if comp is None:  # each list's most central class
+            centre = first.groupBy("token", "band").agg(F.max(F.struct("weight", "sig")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", "band", F.col("c.sig").alias("other"))
+            pairs = first.join(centre, ["token", "band"]).where("sig <> other")
+        else:  # each class with the one before it in a random order of each list
+            now = first.join(comp, F.col("sig") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sig"))
+            order = W.partitionBy("token", "band").orderBy(F.xxhash64("sig", "token", F.lit(r)), "sig")
+            pairs = now.withColumn("other", F.lag("sig").over(order)).withColumn("other_comp", F.lag("comp").over(order)).where("comp <> other_comp")
+        pairs = pairs.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
+        pairs = materialize(_may(materialize(pairs, "jaccard-pairs"), heads), "jaccard-pairs")
         found = materialize(_verified(pairs, sets), "jaccard-links")
         edges = found if edges is None else edges.unionAll(found)
-        if r and not found.limit(1).count():
+        new = found.count()
+        if not new:
             break
         comp = materialize(components(edges), "jaccard-components")
-    return edges.unionAll(_verified(_rest(member, comp), sets))
+        if new * STAR_LEAST < entries:
+            break
+    return edges, comp
+
 
+def _rest(member: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a group that lie in different components and may link, by their sizes and held (sig, s): shared prefix shingles.
 
-def _rest(member: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a group that lie in different components and may link."""
-    now = member.drop("band").join(comp, F.col("sig") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sig")).drop("node", "root").withColumn("k2", F.coalesce("k2", F.lit(0).cast("long")))
+    Components meet before classes do, so the many classes of one component never meet each other; components of
+    one class, which most are, meet only where sizes and counts allow.
+    """
+    now = member.join(held, "sig").withColumn("k2", F.coalesce("k2", F.lit(0).cast("long")))
     mixed = now.groupBy("k1", "k2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k1", "k2")
-    now = materialize(now.join(mixed, ["k1", "k2"], "left_semi"), "jaccard-rest")
-    parts = now.groupBy("k1", "k2", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("heavy").alias("heavy"))
-    a, b = parts.alias("a"), parts.alias("b")
-    meet = a.join(b, ["k1", "k2"]).where((F.col("a.comp") < F.col("b.comp")) & (4 * F.col("a.most") >= 3 * F.col("b.least")) & (4 * F.col("b.most") >= 3 * F.col("a.least")) & ((F.col("k2") != 0) | F.col("a.heavy") | F.col("b.heavy"))).select("k1", "k2", F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
-    x = now.select("k1", "k2", F.col("comp").alias("ca"), F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("heavy").alias("ha"))
-    y = now.select("k1", "k2", F.col("comp").alias("cb"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("heavy").alias("hb"))
-    pairs = meet.join(x, ["k1", "k2", "ca"]).join(y, ["k1", "k2", "cb"]).where(_fits(F.col("na"), F.col("nb")) & ((F.col("k2") != 0) | F.col("ha") | F.col("hb")))
-    # Shared shingles up to the last common place of either are counted; beyond it at most the shorter rest is shared.
-    met = pairs.groupBy(F.least("a", "b").alias("a_"), F.greatest("a", "b").alias("b_")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count_if(F.col("k2") == 0).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max(F.col("k2") != 0).alias("subset"))
-    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return met.where(F.col("subset") | (7 * most >= 3 * (F.col("na") + F.col("nb")))).select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    now = materialize(now.join(mixed, ["k1", "k2"], "left_semi"), "jaccard-groups")
+    parts = now.groupBy("k1", "k2", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("heavy").alias("heavy"), F.max("s").alias("s"))
+    x, y = ([F.col(f"{c}.{k}") for k in ("least", "most", "s")] for c in "ab")
+    fits = (4 * x[1] >= 3 * y[0]) & (4 * y[1] >= 3 * x[0])
+    single = (x[0] == x[1]) & (y[0] == y[1])
+    allowed = fits & (~single | _enough(F.least(x[2], y[2]), x[0], y[0])) & ((F.col("a.k2") != 0) | F.col("a.heavy") | F.col("b.heavy"))
+    same = (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.comp") < F.col("b.comp"))
+    meet = parts.alias("a").join(parts.alias("b"), same & allowed).select("a.k1", "a.k2", F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
+    side = lambda c: now.select("k1", "k2", F.col("comp").alias(f"c{c}"), F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"), F.col("heavy").alias(f"h{c}"))
+    pairs = meet.join(side("a"), ["k1", "k2", "ca"]).join(side("b"), ["k1", "k2", "cb"])
+    good = _enough(F.least("sa", "sb"), F.col("na"), F.col("nb")) & ((F.col("k2") != 0) | F.col("ha") | F.col("hb"))
+    return pairs.where(good).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def cluster(docs: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def clusters(rows):
 @pytest.mark.parametrize(("rounds", "cost"), [(2, 32), (1, 0.001), (1, 1e9)])
 def test_jaccard_components_are_exact(docs, empty, monkeypatch, rounds, cost):
     monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
-    monkeypatch.setattr(jaccard_join, "STAR_PLACES", 1)
+    monkeypatch.setattr(jaccard_join, "STAR_LISTS", 1)
     monkeypatch.setattr(jaccard_join, "SUBSET_COST", cost)  # nearly all light, or all heavy
     want = clusters((r.doc_id, r.text) for r in docs.collect())
     got = jaccard_join.cluster(docs).collect()
