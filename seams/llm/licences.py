@@ -3,14 +3,17 @@
 A paragraph is a line with a word. Its features are the distinct word n-grams (1 to 3;
 lower-cased runs of ASCII letters, digits, dots and hyphens inside) that occur in the
 notices below and hold a word that is no stop word. A multinomial logistic regression over them,
-with a class for paragraphs that are no notice, is trained on sentences of the notices
-and, as unknown, on plain sentences and on notices with their words taken apart.
-Scores are calibrated: the probability from which a family is believed is the least
-one at which no unknown paragraph of the holdout would be. A believed family is
-confirmed against its notices: at least half of the paragraph's n-grams of two words must be there.
+with a class for paragraphs that are no notice, is trained on the notices and titles whole, on
+each sentence of a notice by itself and on its pieces as wrapped lines have them; and, as unknown, on
+plain sentences, some with phrases of notices, and on the words of notices taken apart, without those that name a family.
+Scores are calibrated: a family is believed above the greatest probability that any family
+has for an unknown paragraph of the holdout, be unknown the likelier class or not. The comparison
+with the notices decides between believed families: one is confirmed if at least half of the
+paragraph's n-grams of two words are in its notices or titles, or a whole sentence of a notice is in the
+paragraph; confirmed ones go first, then the likelier.
 
-A notice names its licence in two words or more: a paragraph with fewer distinct words of
-the notices (stop words aside) is unknown, which its words tell before any n-gram is formed.
+A notice names its licence in two words or more, or in a title: a paragraph with fewer distinct words of
+the notices (stop words aside), none of them a whole title, is unknown, which its words tell before any n-gram is formed.
 
 Nulls: a null text has no paragraphs. Repeated rows and lines are classified alike. The notices are
 the standard short forms of public licences.
@@ -19,6 +22,7 @@ the standard short forms of public licences.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -62,6 +66,33 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced without prior written permission."),
 )
+# Families and titles of their licences.
+TITLES: tuple[tuple[str, str], ...] = (
+    ("apache", "Apache License"),
+    ("apache", "Apache License, Version 2.0, January 2004"),
+    ("apache", "Version 2.0, January 2004"),
+    ("mit", "MIT License"),
+    ("mit", "The MIT License (MIT)"),
+    ("gpl", "GNU GENERAL PUBLIC LICENSE"),
+    ("gpl", "GNU General Public License v3.0"),
+    ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE"),
+    ("lgpl", "GNU Lesser General Public License v2.1"),
+    ("agpl", "GNU AFFERO GENERAL PUBLIC LICENSE"),
+    ("agpl", "GNU Affero General Public License v3.0"),
+    ("bsd", "BSD 2-Clause License"),
+    ("bsd", "BSD 3-Clause License"),
+    ("mpl", "Mozilla Public License"),
+    ("mpl", "Mozilla Public License Version 2.0"),
+    ("cc-by", "CC BY 4.0"),
+    ("cc-by", "Creative Commons Attribution 4.0 International"),
+    ("cc-by-nc", "CC BY-NC 4.0"),
+    ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("cc-by-sa", "CC BY-SA 4.0"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("cc0", "CC0 1.0 Universal"),
+    ("isc", "ISC License"),
+    ("unlicense", "The Unlicense"),
+)
 # Sentences that are no notices.
 PLAIN: tuple[str, ...] = (
     "The committee published its report on public transport in the spring.",
@@ -74,6 +105,35 @@ PLAIN: tuple[str, ...] = (
     "He has the right to vote and the permission of the court.",
     "General conditions of the trade were met in part.",
     "The foundation of the house is of stone.",
+    "The rights of the tenants are protected by law.",
+    "A table was reserved for all of the guests.",
+    "Two seats are reserved for members of the board.",
+    "The general public was not admitted to the trial.",
+    "The programme is subject to change without notice.",
+    "She asked for permission to use the copy in the library.",
+    "The source of the river is in a public park.",
+    "No person may modify the form without written notice.",
+    "The work of the author was published in a new version.",
+    "Human rights and related issues were discussed for the first time.",
+    "The files are on the table in the other room.",
+    "He received a copy of the code of conduct along with the letter.",
+    "It is free of charge for any person with a ticket.",
+    "The terms of the contract were met by the company.",
+    "The conditions on the road were better in the following year.",
+    "Her book is in the public domain of ideas.",
+    "The law firm redistributes the money to the owners.",
+    "Parts of this publication were written in prison.",
+)
+# Sentences that borrow phrases of notices. They are for training only: held aside, one of them alone would set the threshold.
+BORROWED: tuple[str, ...] = (
+    "The house is subject to the terms of the sale.",
+    "You should have received a letter from the court with this form.",
+    "A guest may obtain a copy of the key at the desk.",
+    "The following conditions were set by the judge.",
+    "This project is a part of the history of the city.",
+    "A copy of this report and the files of the case were lost.",
+    "You may not use the lift in case of fire.",
+    "The school has published the names as promised.",
 )
 # Stop words.
 STOP = ("a", "all", "along", "an", "and", "any", "are", "as", "at", "be", "been", "by", "can", "for", "from", "has", "have", "in", "is", "it", "may", "met", "new", "no", "not", "of", "on", "or", "part", "that", "the", "this", "to", "under", "use", "with", "without", "you")
@@ -82,6 +142,15 @@ WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CONFIRM = 0.5
 LEAST_CUES = 2
 UNKNOWN = "unknown"
+PIECE = 8
+
+
+def _cut(text: str) -> list[str]:
+    return re.findall(WORD, text.lower())
+
+
+#: Families and words of the sentences of notices, of three words at least.
+SENTENCES = [(f, _cut(s)) for f, t in NOTICES for s in re.split(r"[.;:]\s", t) if len(_cut(s)) >= 3]
 
 
 def tokens(text: Column) -> Column:
@@ -102,16 +171,38 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in sorted(values)])
 
 
+def _pieces() -> list[tuple[str, list[str]]]:
+    """Family and words of the notices, titles, sentences and pieces of PIECE words or fewer, of which each begins in the middle of the one before."""
+    out = [(f, _cut(t)) for f, t in [*NOTICES, *TITLES]]
+    out += [(f, s) for f, s in SENTENCES]
+    for f, t in NOTICES:
+        w = _cut(t)
+        out += [(f, w[i : i + PIECE]) for i in range(0, len(w) - PIECE // 2, PIECE // 2) if len(w) > PIECE]
+        if len(w) >= PIECE:
+            out += [(f, w[: (len(w) + 1) // 2]), (f, w[len(w) // 2 :])]
+    return out
+
+
+def _naming() -> set[str]:
+    """Words that the notices and titles of one family hold and those of others do not."""
+    families: dict[str, set[str]] = {}
+    for f, t in [*NOTICES, *TITLES]:
+        for w in _cut(t):
+            families.setdefault(w, set()).add(f)
+    return {w for w, of in families.items() if len(of) == 1} - set(STOP)
+
+
 def _training(spark: SparkSession) -> DataFrame:
-    """family, text, fold: notices, their halves, and paragraphs that are no notices."""
-    rows = [F.struct(F.lit(f).alias("family"), F.lit(t).alias("text"), F.lit(i % 3 == 2).alias("aside")) for i, (f, t) in enumerate([*NOTICES, *((UNKNOWN, t) for t in PLAIN)])]
-    base = spark.range(1).select(F.inline(F.array(*rows))).withColumn("w", tokens(F.col("text")))
-    own = base.select("family", "w", F.lit(False).alias("aside"))
-    half = F.ceil(F.size("w") / 2).cast("int")
-    front = base.where((F.col("family") != UNKNOWN) & (F.size("w") >= 8)).select("family", F.slice("w", F.lit(1), half).alias("w"), F.lit(False).alias("aside"))
-    apart = base.select(F.lit(UNKNOWN).alias("family"), F.expr("transform(w, x -> array(x))").alias("ws"), "aside").select("family", F.explode("ws").alias("w"), "aside")
-    backward = base.select(F.lit(UNKNOWN).alias("family"), F.reverse("w").alias("w"), "aside")
-    return own.unionByName(front).unionByName(apart).unionByName(backward)
+    """family, w, aside: pieces of notices, and paragraphs that are no notices, every third of them for the holdout."""
+    names, rows = _naming(), [(f, w, False) for f, w in _pieces()]
+    rows += [(UNKNOWN, w, i % 3 == 2) for i, t in enumerate(PLAIN) for w in (_cut(t), _cut(t)[::-1])]
+    rows += [(UNKNOWN, _cut(t), False) for t in BORROWED]
+    for i, (_, t) in enumerate([*NOTICES, *((UNKNOWN, t) for t in PLAIN)]):
+        w = [x for x in _cut(t) if x not in names]
+        rows += [(UNKNOWN, x, i % 3 == 2) for x in [w[::-1], *([x] for x in w)]]
+    told = "\n".join(f"{f}\t{a}\t{' '.join(w)}" for f, w, a in rows if w)
+    cells = spark.range(1).select(F.explode(F.split(F.lit(told), "\n")).alias("row")).select(F.split("row", "\t").alias("c"))
+    return cells.select(F.col("c")[0].alias("family"), F.split(F.col("c")[2], " ").alias("w"), (F.col("c")[1] == "True").alias("aside"))
 
 
 def train(spark: SparkSession, steps: int = 60) -> tuple[DataFrame, list[str], list[float], float]:
@@ -126,22 +217,32 @@ def train(spark: SparkSession, steps: int = 60) -> tuple[DataFrame, list[str], l
     model = LogisticRegression(featuresCol="x", maxIter=steps, regParam=0.002, family="multinomial", weightCol="weight").fit(ready.where(~F.col("aside")).withColumn("weight", weight))
     matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     rows = [F.struct(F.lit(g).alias("feature"), F.array(*[F.lit(float(v)) for v in matrix[:, i]]).alias("weights")) for i, g in enumerate(vocabulary.vocabulary)]
-    held = model.transform(ready.where(F.col("aside") & (F.col("family") == UNKNOWN))).select("probability").collect()  # from the sentences above
+    held = model.transform(ready.where(F.col("aside") & (F.col("family") == UNKNOWN) & _may("w"))).select("probability").collect()  # from the sentences above
     unknown = classes.index(UNKNOWN)
     worst = max((max(p for i, p in enumerate(r.probability.toArray()) if i != unknown) for r in held), default=0.5)
     data.unpersist()
-    return materialize(spark.range(1).select(F.inline(F.array(*rows))), "licence-weights"), classes, [float(b) for b in bias], float(min(max(worst, 0.5), 0.95))
+    return materialize(spark.range(1).select(F.inline(F.array(*rows))), "licence-weights"), classes, [float(b) for b in bias], float(worst)
 
 
-def _cut(text: str) -> list[str]:
-    return re.findall(WORD, text.lower())
+def _may(words: str) -> Column:
+    """Whether words hold LEAST_CUES distinct words of the notices and titles which are no stop words, or a whole title of one."""
+    told = [set(_cut(t)) - set(STOP) for _, t in [*NOTICES, *TITLES]]
+    titles = [w for w in told if len(w) < LEAST_CUES]
+    return (F.size(F.array_intersect(words, _strings(set().union(*told)))) >= LEAST_CUES) | F.arrays_overlap(words, _strings(set().union(*titles)))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(text_key, line, paragraph, w) of the lines that hold LEAST_CUES distinct words of the notices which are no stop words."""
-    cues = {w for _, t in NOTICES for w in _cut(t)} - set(STOP)
+    """(text_key, line, paragraph, w) of the lines that may be notices by their words."""
     lines = docs.select(F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    return lines.withColumn("w", tokens(F.col("paragraph"))).where(F.size(F.array_intersect("w", _strings(cues))) >= LEAST_CUES)
+    return lines.withColumn("w", tokens(F.col("paragraph"))).where(_may("w"))
+
+
+def _confirmed(family: str) -> Column:
+    """Whether half of a paragraph's pairs of words (pairs) are in the family's notices and titles, or a sentence of its notices is in its words (told)."""
+    own = {f"{x} {y}" for f, t in [*NOTICES, *TITLES] if f == family for x, y in zip(_cut(t), _cut(t)[1:])}
+    whole = [F.contains("told", F.lit(f" {' '.join(s)} ")) for f, s in SENTENCES if f == family]
+    near = (F.size("pairs") > 0) & (F.size(F.array_intersect("pairs", _strings(own))) >= CONFIRM * F.size("pairs"))
+    return reduce(lambda x, y: x | y, whole, near)
 
 
 def classify(told: DataFrame) -> DataFrame:
@@ -152,18 +253,13 @@ def classify(told: DataFrame) -> DataFrame:
     distinct = materialize(distinct, "licence-paragraphs")
     flat = weights.select("feature", *[F.col("weights")[i].alias(f"w{i}") for i in n])  # as many rows as the notices have n-grams
     sums = distinct.select("paragraph_key", F.explode(features("w")).alias("feature")).join(F.broadcast(flat), "feature").groupBy("paragraph_key").agg(*[(F.sum(f"w{i}") + F.lit(bias[i])).alias(f"z{i}") for i in n])
-    top = F.greatest(*[F.col(f"z{i}") for i in n])
-    best = F.coalesce(*[F.when(F.col(f"z{i}") == F.col("top"), F.lit(classes[i])) for i in n])
-    total = sum((F.exp(F.col(f"z{i}") - F.col("top")) for i in n), F.lit(0.0))
-    scored = sums.withColumn("top", top).select("paragraph_key", best.alias("family"), (1 / total).alias("probability"))
-    believed = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") > least)).join(distinct, "paragraph_key")
-    pairs = believed.withColumn("pairs", F.array_distinct(_ngrams("w", 2)))
-    known = F.lit(0)
-    for c in classes:
-        own = {f"{x} {y}" for f, t in NOTICES if f == c for x, y in zip(_cut(t), _cut(t)[1:])}
-        if own:
-            known = F.when(F.col("family") == c, F.size(F.array_intersect("pairs", _strings(own)))).otherwise(known)
-    return pairs.select("paragraph_key", "family", "probability", ((F.size("pairs") > 0) & (known >= CONFIRM * F.size("pairs"))).alias("confirmed"))
+    scores = sums.select("paragraph_key", F.array(*[F.col(f"z{i}") for i in n]).alias("z")).withColumn("e", F.expr("transform(z, x -> exp(x - array_max(z)))"))
+    scored = scores.select("paragraph_key", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, b) -> a + b))").alias("p"))
+    families = [i for i in n if classes[i] != UNKNOWN]
+    believed = scored.where(F.array_max(F.array(*[F.col("p")[i] for i in families])) > least).join(distinct, "paragraph_key")
+    held = believed.withColumn("pairs", F.array_distinct(_ngrams("w", 2))).withColumn("told", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
+    each = [F.when(F.col("p")[i] > least, F.struct(_confirmed(classes[i]).alias("confirmed"), F.col("p")[i].alias("probability"), F.lit(classes[i]).alias("family"))) for i in families]
+    return held.select("paragraph_key", F.greatest(*each).alias("best")).select("paragraph_key", "best.family", "best.probability", "best.confirmed")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -299,6 +299,20 @@ def test_licences(spark, docs, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licences_of_titles_and_pieces(spark):
+    want = [
+        ("All rights reserved.", "proprietary"), ("Copyright (c) 2020 Foo Inc. All rights reserved.", "proprietary"), ("No part of this publication may be reproduced", "proprietary"),
+        ("MIT License", "mit"), ("of this software and associated documentation files", "mit"), ("It was written by Bar and was released under the MIT License.", "mit"),
+        ("Apache License, Version 2.0", "apache"), ("you may not use this file except in compliance with the License.", "apache"),
+        ("GNU GENERAL PUBLIC LICENSE", "gpl"), ("This program is free software: you can redistribute it and/or modify", "gpl"), ("GNU Lesser General Public License", "lgpl"), ("GNU AFFERO GENERAL PUBLIC LICENSE", "agpl"),
+        ("BSD 3-Clause License", "bsd"), ("Redistribution and use in source and binary forms, with or without", "bsd"), ("Mozilla Public License Version 2.0", "mpl"), ("ISC License", "isc"), ("The Unlicense", "unlicense"), ("CC0 1.0 Universal", "cc0"), ("CC BY 4.0", "cc-by"), ("CC BY-NC 4.0", "cc-by-nc"), ("CC BY-SA 4.0", "cc-by-sa"),
+        ("All tables were reserved by the right person.", ""), ("He studied at MIT and got a driving license.", ""), ("The program is shown to the general public free of charge.", ""), ("She was granted permission to copy the source of the program.", ""), ("The car is subject to the terms of the lease.", ""),
+    ]
+    want += [(t, f) for f, t in licences.NOTICES + licences.TITLES] + [(t, "") for t in licences.PLAIN]
+    got = by_id(licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id bigint, text string")))
+    assert [(t, got[i].families) for i, (t, _) in enumerate(want)] == want
+
+
 # 7
 
 
