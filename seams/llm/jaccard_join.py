@@ -336,12 +336,17 @@ def _rest(member: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.where(good).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cluster(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document. docs: doc_id, text."""
-    docs = docs.select("doc_id", "text")
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, n_shingles, sig) of each document, and (sig, root) of the classes with a link."""
     described = materialize(describe(docs), "jaccard-documents")
     comp = components(links(docs, described)).withColumnRenamed("node", "sig")
-    one = described.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "sig")
+    return described.where("kind = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "sig"), comp
+
+
+def cluster(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document. docs: doc_id, text."""
+    one, comp = _classes(docs.select("doc_id", "text"))
+    one = one.drop("row_key")
     classes = one.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least")).join(comp, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(roots, "root").select("sig", "component_id")
@@ -350,7 +355,17 @@ def cluster(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs' rows of which each component keeps one: that of its least doc_id (rows with a null doc_id stay; of rows that share an id, one)."""
-    found = cluster(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("__id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """docs' rows of which each component keeps one: that of its least doc_id (null ids last), then of its least row_key.
+
+    A doc_id tells no rows apart: different texts of one id stay unless they link. Rows without a set stay,
+    repeated ones (the same id and text) once; with a null doc_id all of them, as nothing shows that they are repeated.
+    """
+    one, comp = _classes(docs.select("doc_id", "text"))
+    least = lambda c: F.min(c).alias("first")
+    classes = one.where("n_shingles > 0").groupBy("sig").agg(least(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key"))).join(comp, "sig", "left")
+    kept = classes.groupBy(F.coalesce("root", "sig").alias("root")).agg(least("first")).select(F.col("first.row_key").alias("__key"))
+    bare = one.where("n_shingles = 0")
+    found = kept.unionAll(bare.where("doc_id is not null").select("row_key").distinct())
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    alone = keyed.where("doc_id is null").join(bare.where("doc_id is null").select(F.col("row_key").alias("__key")).distinct(), "__key", "left_semi")
+    return keyed.join(found, "__key", "left_semi").dropDuplicates(["__key"]).unionByName(alone).select(*docs.columns)

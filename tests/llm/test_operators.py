@@ -134,6 +134,14 @@ def test_jaccard_components_are_exact(docs, empty, monkeypatch, rounds, cost):
         assert jaccard_join.cluster(empty).count() == 0
 
 
+def test_jaccard_keeps_one_row_of_each_component(spark):
+    w = [f"x{i}" for i in range(40)]
+    near, unique, other = " ".join(w[:39]), " ".join(f"y{i}" for i in range(20)), " ".join(f"z{i}" for i in range(20))
+    rows = [(3, " ".join(w)), (5, unique), (5, near), (5, unique), (None, near), (None, other), (None, other), (7, ""), (7, ""), (7, None), (None, ""), (None, "")]
+    got = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(3, " ".join(w)), (5, unique), (None, other), (7, ""), (7, None), (None, ""), (None, "")]))
+
+
 def test_jaccard_boundary_case(spark):
     # 7 shared of 9: 77 %; 6 of 8: exactly 75 %
     w = [f"x{i}" for i in range(40)]
