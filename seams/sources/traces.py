@@ -15,10 +15,10 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     there = [p for p in paths if "://" in p or os.path.isfile(p)]
     if not there:
         return spark.createDataFrame([], "file string, seq bigint, line string")
-    raw = spark.read.text(there).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value"))
-    parts = raw.select("file", "block", "id", F.posexplode(F.split("value", r"[\x0b\x0c\x1c-\x1e\x85  ]")).alias("part", "line"))
-    # places are ordered, not consecutive: block, then place in the block
-    return parts.select("file", (F.shiftleft("id", 6) + F.least("part", F.lit(63))).alias("seq"), "line")
+    raw = spark.read.text(there).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    parts = raw.select("file", F.explode(F.split("value", r"[\x0b\x0c\x1c-\x1e\x85  ]")).alias("line"))
+    # places are ordered, not consecutive: numbered after lines are cut, so that a line may have any number of parts
+    return parts.select("file", F.monotonically_increasing_id().alias("seq"), "line")
 
 
 def numbered(lines: DataFrame) -> DataFrame:
