@@ -17,6 +17,10 @@ from seams.checkpoints import settle
 MOST_EDGES = 2_000_000
 
 
+class TooLarge(ValueError):
+    """A graph has more edges than a task can hold."""
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 5, most: int = MOST_EDGES) -> DataFrame:
     """(unit_id, pagerank) by power iteration over weighted edges (source, target, weight).
 
@@ -107,7 +111,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 50, seed: int
     k = min(n, pivots)
     table = edges.groupBy("source", "target").agg(F.sum("weight").cast("double").alias("weight")).where("source <> target")
     if table.count() > MOST_EDGES:
-        raise ValueError(f"betweenness needs at most {MOST_EDGES} edges")
+        raise TooLarge(f"betweenness needs at most {MOST_EDGES} edges")
     out: dict[str, list[tuple[str, float]]] = {}
     for r in table.orderBy("source", "target").toLocalIterator():
         out.setdefault(r.source, []).append((r.target, r.weight))

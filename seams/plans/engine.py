@@ -37,6 +37,7 @@ class Result:
     mode: str = "none"
     importances: dict[str, float] = field(default_factory=dict)
     seconds: dict[str, float] = field(default_factory=dict)
+    refused: dict[str, str] = field(default_factory=dict)  # stages beyond their limits, and why
 
 
 _BEHAVIOR = "comp_a string, comp_b string, " + ", ".join(f"{c} double" for c in FEATURES[6:10])
@@ -123,7 +124,11 @@ class Engine:
         texts = units.select(F.col("unit_id").alias("unit"), F.concat_ws(" ", "class_names", "method_names", "annotations", "raw_tokens", "comments").alias("text"))
         weights = similarity.tfidf(texts, c.max_features).cache()
         sims = similarity.cosine_pairs(weights).cache()
-        centrality = graph.pagerank(units, edges).join(graph.betweenness(units, edges, c.pivots, c.seed), "unit_id", "left")
+        try:
+            between = graph.betweenness(units, edges, c.pivots, c.seed)
+        except graph.TooLarge as e:
+            between, result.refused["betweenness"] = self._empty("unit_id string, betweenness double"), str(e)
+        centrality = graph.pagerank(units, edges).join(between, "unit_id", "left")
         lap("structural")
         runtime, result.hot_paths = self.behavior(units)
         lap("behavioral")
@@ -145,7 +150,10 @@ class Engine:
             result.mode = "composite"
             scored = rank.channels(labelled).cache()
             result.ranked = rank.composite(scored, rank.adaptive_weights(scored, labels, c), c.cross_layer_bonus)
-        result.clusters = clusters.suggest(weights, c.cluster_size, c.cluster_samples)
+        try:
+            result.clusters = clusters.suggest(weights, c.cluster_size, c.cluster_samples)
+        except clusters.TooLarge as e:
+            result.refused["clusters"] = str(e)
         lap("ranking")
         if c.output:
             write_report(result, c.output, c.top_k)
@@ -164,7 +172,7 @@ def write_report(result: Result, folder: str, k: int) -> str:
     best = rank.top(result.ranked.sparkSession.read.parquet(f"{folder}/ranked"), k)
     rows = lambda df: [r.asDict(True) for r in df.collect()] if df is not None else []  # noqa: E731  k rows or so
     report = {
-        "meta": {"mode": result.mode, "stages": result.seconds, "total_elapsed_s": round(sum(result.seconds.values()), 3)},
+        "meta": {"mode": result.mode, "stages": result.seconds, "total_elapsed_s": round(sum(result.seconds.values()), 3), "refused": result.refused},
         "top_boundaries": rows(shown(best)),
         "service_clusters": {str(r.cluster): list(r.units) for r in clusters.as_lists(result.clusters).collect()} if result.clusters is not None else {},
         "feature_importances": result.importances,

@@ -226,6 +226,21 @@ def test_whole_analysis(spark, tmp_path):
     assert nothing.ranked is None
 
 
+def test_ranking_is_written_when_clusters_and_betweenness_are_refused(spark, tmp_path, monkeypatch):
+    from seams.plans.engine import Engine
+
+    (tmp_path / "src").mkdir()
+    for name, text in {"orders": "from payments import PaymentService\nclass OrderService: pass\n", "payments": "class PaymentService: pass\n", "store": "from orders import OrderService\nclass OrderStore: pass\n"}.items():
+        (tmp_path / "src" / f"{name}.py").write_text(text)
+    monkeypatch.setattr(graph, "MOST_EDGES", -1)
+    monkeypatch.setattr(clusters, "MOST_UNITS", 0)
+    result = Engine(spark, EngineConfig(code_roots=(str(tmp_path / "src"),), output=str(tmp_path / "out"))).analyze()
+    report = json.loads((tmp_path / "out/report.json").read_text())
+    assert set(result.refused) == {"betweenness", "clusters"} == set(report["meta"]["refused"])
+    assert report["top_boundaries"] and report["service_clusters"] == {} and result.clusters is None
+    assert {(r.betweenness_a, r.betweenness_b) for r in result.features.collect()} == {(0.0, 0.0)}
+
+
 def test_docx_and_broken_documents(spark, tmp_path):
     import zipfile
 
