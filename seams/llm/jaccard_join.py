@@ -3,7 +3,7 @@
 A document's set is its distinct 5-word shingles (lower-cased ASCII); sets that are
 equal form a class. Two classes link when 100 x intersection >= 75 x union, and a
 component is what links reach. Each class has a prefix of its set in one global
-order, shingles common in many documents last, then by hash: as linked sets share
+order, shingles common in many classes last, then by hash: as linked sets share
 at least three quarters of either, they share a shingle within the first
 n - ceil(3n/4) + 1 places of both, and two within one place more.
 
@@ -16,15 +16,21 @@ class go no further. What is left is joined by size:
 The boundary is the size at which the sum of subsets to enumerate below it and of list
 entries to scan above it is least, from the measured counts.
 
-Groups are never expanded into all pairs. First the lists of a few of each class's shingles,
-by size band, link their members to their most central class, then, over a few rounds,
-to random members of other components, each link verified exactly. Then shingles that are in one component only are dropped, and the join
-runs on the rest: only pairs of classes in different components, of fitting sizes,
-and that the positions of their shared shingles allow, are verified. So no link between
-components is lost, and a group of copies costs its size.
+A list (or subset) of at most MOST classes gives its pairs. Of a longer one the centre is the class with the largest
+part of its prefix shared, and each class is dealt to the group of the centre c that most of its long lists have. A
+long list gives the pairs of different groups only, of those that sizes and the counts of shingles in long
+lists allow. Inside a group all members x are compared with c, and
+x differs from c in the set D(x). As x and y link if and only if their symmetric difference is at most a seventh of the sum of
+their sizes, and D(x) and D(y) have that symmetric difference too, members that link with c need no
+pair of their own, and a member that does not link with c can only link with a y that shares at least
+(|D(x)| + |D(y)| - (|x| + |y|) / 7) / 2 > 0 shingles of D. So the search goes on with the prefixes of the
+differences, where all that the group has in common is gone, and lists (c, shingle) that are
+still long get a centre of their own. After LEVELS such steps the rest is expanded, so no link is lost.
+Links of a group's members to its centre cost its size, not its square.
 
 Nulls and empty texts: no set, a component of their own (doc_id itself). A null doc_id has the
-least id of its component, if that has any. Repeated rows are copies.
+least id of its component, if that has any. Repeated rows are copies. Ties between centres go to the larger hash. Texts are
+read whole, whatever their length; other columns of the documents are not looked at. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -40,25 +46,26 @@ from pyspark.sql import functions as F
 
 from seams.llm import textcore as tc
 from seams.llm.graph import components
-from seams.llm.store import materialize
+from seams.llm.store import materialize, scratch
 
 WORDS = 5
 PERCENT = 75
-#: A shingle in more than 1 / COMMON of the documents of some chunk is a candidate for the end of the order.
+#: A shingle in more than 1 / COMMON of the classes of some chunk is a candidate for the end of the order.
 COMMON = 512
 #: Bound of the common shingles that tasks are told; others keep their place by hash.
 MOST_COMMON = 200_000
 CHUNK = 1 << 21
-STAR_ROUNDS = 4
-PARTS = 16
-STAR_LISTS = 3
-#: Star rounds end when they link fewer than one in so many list entries.
-STAR_LEAST = 1000
-#: Classes that share this part of their prefix have their sets read first; others when a pair asks for them.
+#: Keys into which the pairs of one class are dealt, so that its set goes to at most as many places.
+PARTS = 256
+#: The longest list that gives all its pairs.
+MOST = 16
+#: The part of a class's prefix that must lie in long lists of one centre for the class to be in its group.
 LIKELY = 0.25
+#: Long lists of differences are refined so often.
+LEVELS = 4
 BROADCAST_ROWS = 1_000_000
-#: What forming and shuffling a subset costs, in list entries scanned (which are met inside a join and seldom leave it).
-SUBSET_COST = 32
+#: What forming and shuffling a subset costs, in list entries scanned (which are met in a row and seldom leave it).
+SUBSET_COST = 3
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -82,47 +89,50 @@ def _text(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, row_key, n, sig) of each document; kind 1: a shingle (sig) common in n documents of a chunk."""
+    """kind 0: (doc_id, row_key, n, sig) of each document; kind 1: a shingle (sig) common in n classes of a chunk."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["kind", "doc_id", "row_key", "n", "sig"]
 
-    def common(held: list[np.ndarray], docs_: int, like: pa.Array) -> pa.RecordBatch:
-        token, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= max(3, docs_ / COMMON)
+    def common(held: dict[int, np.ndarray], like: pa.Array) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
+        often = n >= max(3, len(held) / COMMON)
         token, n = token[often], n[often]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), like.type), pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int64)), pa.array(token.view(np.int64))], names)
 
     def run(batches):
-        held, size, count, like = [], 0, 0, None
+        held, size, like = {}, 0, None
         for batch in batches:
             like = batch.column(0)
             n, sig = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, s in shingle_sets(batch.column(1)):
                 n[i], sig[i] = len(s), _sig(s)
-                held.append(s)
-                size, count = size + len(s), count + 1
+                if int(sig[i]) not in held:
+                    held[int(sig[i])] = s
+                    size += len(s)
                 if size >= CHUNK:
-                    yield common(held, count, like)
-                    held, size, count = [], 0, 0
+                    yield common(held, like)
+                    held, size = {}, 0
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), like, batch.column(2), pa.array(n), pa.array(sig)], names)
         if held:
-            yield common(held, count, like)
+            yield common(held, like)
 
     return _text(docs, "doc_id").mapInArrow(run, f"kind int, doc_id {kind}, row_key bigint, n bigint, sig bigint")
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(token, sig, n, place) of the first n - ceil(3n/4) + 2 shingles of each set of three or more; copies within a task count once."""
+    """(token, sig, n, place, often) of the first n - ceil(3n/4) + 2 shingles of each set of three or more; copies within a task count once. often: it is in common."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    names = ["token", "sig", "n", "place"]
+    names = ["token", "sig", "n", "place", "often"]
 
-    def batch_of(rows: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-        size = [len(t) for t, _, _ in rows]
+    def batch_of(rows: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+        size = [len(t) for t, _, _, _ in rows]
+        place = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
         return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([t for t, _, _ in rows]).view(np.int64)),
-            pa.array(np.repeat(np.array([s for _, s, _ in rows], np.int64), size)),
-            pa.array(np.repeat(np.array([n for _, _, n in rows], np.int32), size)),
-            pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size])),
+            pa.array(np.concatenate([t for t, _, _, _ in rows]).view(np.int64)),
+            pa.array(np.repeat(np.array([s for _, s, _, _ in rows], np.int64), size)),
+            pa.array(np.repeat(np.array([n for _, _, n, _ in rows], np.int32), size)),
+            pa.array(place),
+            pa.array(place >= np.repeat(np.array([r for _, _, _, r in rows], np.int64), size)),
         ], names)
 
     def run(batches):
@@ -133,10 +143,11 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 if n < 3 or (sig := _sig(s)) in seen:
                     continue
                 seen.add(sig)
+                rare = n
                 if len(late):
                     last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                    s = np.concatenate([s[~last], s[last]])
-                rows.append((s[: n - (3 * n + 3) // 4 + 2], sig, n))
+                    s, rare = np.concatenate([s[~last], s[last]]), n - int(last.sum())
+                rows.append((s[: n - (3 * n + 3) // 4 + 2], sig, n, rare))
                 size += len(rows[-1][0])
                 if size >= 1 << 17:
                     yield batch_of(rows)
@@ -144,7 +155,7 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
-    return docs.select("text").mapInArrow(run, "token bigint, sig bigint, n int, place int")
+    return docs.select("text").mapInArrow(run, "token bigint, sig bigint, n int, place int, often boolean")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -197,8 +208,8 @@ def _may(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     to it are in both prefixes; behind it one set has n less its prefix, so the intersection
     is at most what the prefixes share and the larger of these rests.
     """
-    both = _with(pairs, heads, "n", "t")
-    return both.where(_enough(F.size(F.array_intersect("t", "t2")), F.col("n"), F.col("n2"))).select("a", "b")
+    both = _with(pairs, heads.select("sig", "n", F.col("t.token").alias("t")), "n", "t")
+    return both.where(_enough(F.size(F.array_intersect("t", "t2")), F.col("n"), F.col("n2"))).select("a", "b", "how")
 
 
 def _enough(shared: Column, a: Column, b: Column) -> Column:
@@ -208,7 +219,7 @@ def _enough(shared: Column, a: Column, b: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that link, as edges (u, v).
+    """Those of pairs (a, b, how) that link, as edges (u, v, how).
 
     A sieve of 16 bits of each shingle goes first: sets share at most the 16-bit values that both have and
     as many more as the one with fewer has shingles beyond its distinct values.
@@ -216,18 +227,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     thin = sets.select("sig", F.size("items").cast("long").alias("n"), F.expr("array_distinct(transform(items, x -> cast(shiftright(shiftleft(x, 48), 48) as smallint)))").alias("w"))
     both = _with(pairs, thin, "n", "w")
     most = F.size(F.array_intersect("w", "w2")) + F.least(F.col("n") - F.size("w"), F.col("n2") - F.size("w2"))
-    good = materialize(both.where(100 * most >= PERCENT * (F.col("n") + F.col("n2") - most)).select("a", "b").distinct(), "jaccard-pairs")
+    good = materialize(both.where(100 * most >= PERCENT * (F.col("n") + F.col("n2") - most)).select("a", "b", "how"), "jaccard-pairs")
     both = _with(good, sets, "items")
-    met = both.select("a", "b", F.size(F.array_intersect("items", "items2")).cast("long").alias("i"), (F.size("items") + F.size("items2")).cast("long").alias("s"))
-    return met.where(100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    met = both.select("a", "b", "how", F.size(F.array_intersect("items", "items2")).cast("long").alias("i"), (F.size("items") + F.size("items2")).cast("long").alias("s"))
+    return met.where(100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"), "how")
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair (a, b) once, the lesser class first, with the first way it was found."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "how").groupBy("a", "b").agg(F.min("how").alias("how"))
 
 
-def _boundary(shared: DataFrame) -> int:
+def boundary(heads: DataFrame) -> int:
     """The largest size of a light class."""
-    lists = shared.groupBy("token").agg(F.countDistinct("comp").alias("entries"))  # components meet before classes do
-    own = shared.join(lists, "token").groupBy("sig").agg(F.first("n").alias("n"), F.count("*").alias("k"), F.sum("entries").alias("scan"))
     band = F.floor(F.log2("n") * 4).cast("int")
-    costs = sorted(own.groupBy(band.alias("band")).agg(F.sum(SUBSET_COST * F.col("k") * (F.col("k") - 1) / 2).alias("subsets"), F.sum("scan").alias("scan"), F.max("n").alias("top")).collect())  # a row for each quarter of a power of two
+    entries = heads.select(band.alias("band"), F.explode("t.token").alias("token")).groupBy("token", "band").agg(F.count("*").alias("k"))
+    scans = entries.withColumn("m", F.sum("k").over(W.partitionBy("token"))).groupBy("band").agg(F.sum(F.col("k") * F.least("m", F.lit(MOST))).alias("scan"))  # longer lists are scanned through their centre
+    k = F.size("t").cast("long")
+    subsets = heads.groupBy(band.alias("band")).agg(F.sum(SUBSET_COST * k * (k - 1) / 2).alias("subsets"), F.max("n").alias("top"))
+    costs = sorted(subsets.join(scans, "band").collect())  # a row for each quarter of a power of two
     best, least = 2, sum(r.scan for r in costs)
     for i, r in enumerate(costs):
         cost = sum(x.subsets for x in costs[: i + 1]) + sum(x.scan for x in costs[i + 1 :])
@@ -236,110 +254,138 @@ def _boundary(shared: DataFrame) -> int:
     return best
 
 
-def groups(shared: DataFrame, boundary: int) -> DataFrame:
-    """(k1, k2, sig, n, comp, heavy): members of subsets (k1, k2) of light classes and of lists (k1, null)."""
-    light = shared.where(F.col("n") <= boundary).groupBy("sig", "n", "comp").agg(F.array_sort(F.collect_list("token")).alias("t"))  # at most a prefix of `boundary` shingles
-    subsets = light.select("sig", "n", "comp", F.expr("inline(flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x as k1, y as k2)))))"))
-    subsets = subsets.select("k1", "k2", "sig", "n", "comp", F.lit(False).alias("heavy"))
-    single = shared.where(F.col("place") < F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1)
-    lists = single.select(F.col("token").alias("k1"), F.lit(None).cast("long").alias("k2"), "sig", "n", "comp", (F.col("n") > boundary).alias("heavy"))
-    scanned = lists.groupBy("k1").agg(F.max("heavy").alias("any"), F.count("*").alias("m")).where("any and m > 1").select("k1")
-    return subsets.unionByName(lists.join(scanned, "k1", "left_semi"))
+def groups(heads: DataFrame, light: int) -> DataFrame:
+    """(k1, k2, sig, n, s, heavy): members of subsets (k1, k2) of light classes and of lists (k1, 0); light classes have up to `light` shingles."""
+    s = F.size("t").alias("s")
+    few = heads.where(F.col("n") <= light).select("sig", "n", s, F.expr("array_sort(transform(t, x -> x.token))").alias("t"))
+    subsets = few.select("sig", "n", "s", F.expr("inline(flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x as k1, y as k2)))))"))
+    lists = heads.select("sig", "n", s, F.explode("t").alias("x")).where(F.col("x.place") < F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1)
+    lists = lists.select(F.col("x.token").alias("k1"), F.lit(0).cast("long").alias("k2"), "sig", "n", "s", (F.col("n") > light).alias("heavy"))
+    return lists.unionByName(subsets.withColumn("heavy", F.lit(False)))
 
 
 def _fits(a: Column, b: Column) -> Column:
     return (4 * F.least(a, b)) >= (3 * F.greatest(a, b))
 
 
-def links(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """Edges (u, v) between classes (sig) whose components are those of all links."""
-    common = described.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(MOST_COMMON).select("sig").toPandas().sig.to_numpy(np.int64)
-    postings = prefixes(docs, np.sort(common.view(np.uint64)))
-    by = W.partitionBy("token")
-    shared = postings.withColumn("lo", F.min("sig").over(by)).withColumn("hi", F.max("sig").over(by)).where("lo < hi").select("token", "sig", "n", "place").distinct()
-    shared = materialize(shared, "jaccard-shared")
-    heads = materialize(shared.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("t")), "jaccard-prefixes")  # at most a prefix each
-    likely = heads.where(F.size("t") >= LIKELY * (F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 2)).select("sig")
-    sets = materialize(_fetch(docs, described, likely), "jaccard-sets")
-    edges, comp = _stars(likely, heads, sets)
-    if comp is not None:
-        owned = shared.join(comp, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", "place", F.coalesce("root", "sig").alias("comp"))
-        mixed = owned.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        shared = materialize(owned.join(mixed, "token", "left_semi"), "jaccard-mixed")
-    else:
-        shared = shared.withColumn("comp", F.col("sig"))
-    held = heads.select("sig", F.size("t").alias("s")).where("s > 1")  # linked sets share two places at least
-    shared = shared.join(held.select("sig"), "sig", "left_semi")
-    pairs = materialize(_may(materialize(_rest(groups(shared, _boundary(shared)), held), "jaccard-pairs"), heads), "jaccard-pairs")
-    missing = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(likely, "sig", "left_anti")
-    if missing.limit(1).count():
-        sets = sets.unionAll(materialize(_fetch(docs, described, missing), "jaccard-sets"))
-    return edges.unionAll(_verified(pairs, sets))
+def _prefix(n: Column) -> Column:
+    """Places within which linked sets share a shingle."""
+    return n - F.floor((3 * n + 3) / 4) + 1
 
 
-def _fetch(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
-    keys = described.where("kind = 0").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row_key").alias("row_key")).select("row_key")
-    return full_sets(docs, materialize(keys, "jaccard-wanted"))
+def _lists(members: DataFrame) -> DataFrame:
+    """members with m, the number of members of the list, and c and nc, its centre and that one's size."""
+    weight = F.least(F.col("s") / _prefix(F.col("n")), F.lit(1.0))
+    lists = members.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.max("heavy").alias("any"), F.max(F.struct(weight.alias("w"), "sig", "n")).alias("c")).where("m > 1 and (any or k2 <> 0)")
+    return members.join(lists.select("k1", "k2", "m", F.col("c.sig").alias("c"), F.col("c.n").alias("nc")), ["k1", "k2"])
+
+
+def _short(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b, how) of the lists and subsets of at most MOST members, by sizes and counts of shared prefix shingles."""
+    rows = lists.where(F.col("m") <= MOST).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("sig", "n", "s", "heavy"))).alias("x"))  # at most MOST
+    pairs = rows.select("k2", F.explode(F.expr("flatten(transform(x, (p, i) -> transform(slice(x, i + 2, size(x)), q -> struct(p as p, q as q))))")).alias("z"))
+    pairs = pairs.select("k2", "z.p", "z.q").where(_enough(F.least("p.s", "q.s"), F.col("p.n"), F.col("q.n")) & ((F.col("k2") != 0) | F.col("p.heavy") | F.col("q.heavy")))
+    return pairs.select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b"), F.when(F.col("k2") != 0, "light").otherwise("heavy").alias("how"))
+
 
+def _dealt(lists: DataFrame) -> DataFrame:
+    """(a, b): the centre and each member of its group."""
+    long = lists.where((F.col("m") > MOST) & (F.col("sig") != F.col("c")) & (2 * F.least("n", "nc") >= F.greatest("n", "nc")))
+    often = long.groupBy("sig", "n", "c").agg(F.count("*").alias("k")).where(F.col("k") >= LIKELY * _prefix(F.col("n")))
+    return often.groupBy("sig").agg(F.max(F.struct("k", "c")).alias("x")).select(F.col("x.c").alias("a"), F.col("sig").alias("b"))
 
-def _stars(likely: DataFrame, heads: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links of list members to their list's most central class, then to random members, and the components these make.
 
-    A few lists of each class do: what they miss is left to the join.
+def _across(lists: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Pairs (a, b, how) of long lists that are not in one group.
+
+    Shared shingles beyond those of long lists are at most the last place of either prefix: with another one the pair is in a short list.
     """
-    own = materialize(heads.join(likely, "sig", "left_semi").select("sig", (F.size("t") / F.col("n")).alias("weight"), F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("band"), "t"), "jaccard-lists")
-    entries = STAR_LISTS * own.count()
-    edges, comp = None, None
-    for r in range(STAR_ROUNDS):
-        # another permutation in each round: like sets agree on their first shingles
-        chosen = F.expr(f"slice(array_sort(transform(t, x -> struct(xxhash64(x, {r}) as h, x as token))), 1, {STAR_LISTS})")
-        first = own.select("sig", "weight", "band", F.explode(chosen).alias("x")).select("sig", "weight", "band", F.col("x.token").alias("token"))
-        if comp is None:  # each list's most central class
-            centre = first.groupBy("token", "band").agg(F.max(F.struct("weight", "sig")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", "band", F.col("c.sig").alias("other"))
-            pairs = first.join(centre, ["token", "band"]).where("sig <> other")
-        else:  # each class with the one before it in a random order of each list
-            now = first.join(comp, F.col("sig") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sig"))
-            order = W.partitionBy("token", "band").orderBy(F.xxhash64("sig", "token", F.lit(r)), "sig")
-            pairs = now.withColumn("other", F.lag("sig").over(order)).withColumn("other_comp", F.lag("comp").over(order)).where("comp <> other_comp")
-        pairs = pairs.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
-        pairs = materialize(_may(materialize(pairs, "jaccard-pairs"), heads), "jaccard-pairs")
-        found = materialize(_verified(pairs, sets), "jaccard-links")
-        edges = found if edges is None else edges.unionAll(found)
-        new = found.count()
-        if not new:
-            break
-        comp = materialize(components(edges), "jaccard-components")
-        if new * STAR_LEAST < entries:
-            break
-    return edges, comp
+    rows = lists.where(F.col("m") > MOST).join(dealt.select(F.col("b").alias("sig"), F.col("a").alias("of")), "sig", "left")
+    in_long = F.count_if(F.col("k2") == 0).over(W.partitionBy("sig")) + 2  # at most a prefix each
+    rows = rows.select("k1", "k2", "sig", "n", "heavy", F.coalesce("of", "sig").alias("of"), F.when(F.col("k2") == 0, F.least(in_long, "s")).otherwise(F.col("s")).alias("s"))
+    x, y = rows.alias("x"), rows.alias("y")
+    met = (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.of") != F.col("y.of"))
+    good = _enough(F.least("x.s", "y.s"), F.col("x.n"), F.col("y.n")) & ((F.col("x.k2") != 0) | F.col("x.heavy") | F.col("y.heavy"))
+    return x.join(y, met & good).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.when(F.col("x.k2") != 0, "light").otherwise("heavy").alias("how"))
 
 
-def _rest(member: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a group that lie in different components and may link, by their sizes and held (sig, s): shared prefix shingles.
+def _stars(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, sig, n, d, out, first, pre) of pairs (a: centre, b: member): the member's size and that of its difference from the centre, whether they do not link,
+    the length of the difference's prefix for partners that do not link with the centre, and the prefix itself, for members that do not link of the length for all partners.
 
-    Components meet before classes do, so the many classes of one component never meet each other; components of
-    one class, which most are, meet only where sizes and counts allow.
+    Shingles that the centre lacks come first: they are rarer in a group than those it lacks itself.
     """
-    now = member.join(held, "sig").withColumn("k2", F.coalesce("k2", F.lit(0).cast("long")))
-    mixed = now.groupBy("k1", "k2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k1", "k2")
-    now = materialize(now.join(mixed, ["k1", "k2"], "left_semi"), "jaccard-groups")
-    parts = now.groupBy("k1", "k2", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("heavy").alias("heavy"), F.max("s").alias("s"))
-    x, y = ([F.col(f"{c}.{k}") for k in ("least", "most", "s")] for c in "ab")
-    fits = (4 * x[1] >= 3 * y[0]) & (4 * y[1] >= 3 * x[0])
-    single = (x[0] == x[1]) & (y[0] == y[1])
-    allowed = fits & (~single | _enough(F.least(x[2], y[2]), x[0], y[0])) & ((F.col("a.k2") != 0) | F.col("a.heavy") | F.col("b.heavy"))
-    same = (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.comp") < F.col("b.comp"))
-    meet = parts.alias("a").join(parts.alias("b"), same & allowed).select("a.k1", "a.k2", F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
-    side = lambda c: now.select("k1", "k2", F.col("comp").alias(f"c{c}"), F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"), F.col("heavy").alias(f"h{c}"))
-    pairs = meet.join(side("a"), ["k1", "k2", "ca"]).join(side("b"), ["k1", "k2", "cb"])
-    good = _enough(F.least("sa", "sb"), F.col("na"), F.col("nb")) & ((F.col("k2") != 0) | F.col("ha") | F.col("hb"))
-    return pairs.where(good).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = _with(wanted, sets, "items")
+    both = both.select(F.col("a").alias("c"), F.col("b").alias("sig"), F.size("items2").alias("n"), F.size("items").alias("nc"), F.concat(F.array_except("items2", "items"), F.array_except("items", "items2")).alias("diff"))
+    both = both.withColumn("d", F.size("diff")).withColumn("out", 7 * F.col("d") > F.col("n") + F.col("nc"))
+    # Shared shingles of differences: 14 x shared >= 7d + 7d' - n - n'. A partner that does not link has 7d' - n' > nc; any has n' <= nc + d' and d' >= shared.
+    first = F.col("d") - F.floor((7 * F.col("d") + F.col("nc") - F.col("n")) / 14)
+    any_ = F.col("d") - F.greatest(F.ceil((7 * F.col("d") - F.col("n") - F.col("nc")) / 8), F.lit(1)) + 1
+    return both.select("c", "sig", "n", "d", "out", first.cast("int").alias("first"), F.slice("diff", 1, F.when(F.col("out"), F.greatest(first, any_)).otherwise(first).cast("int")).alias("pre"))
+
+
+def _apart(stars: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, how) that may link though one does not link with their centre, and the members (a: centre, b) of lists that are too long to give them."""
+    rows = stars.select("c", "sig", "n", "d", "out", "first", F.posexplode("pre").alias("pos", "token"))
+    many = (F.col("outs") * F.col("m") > MOST * MOST) if not last else F.lit(False)
+    lists = rows.groupBy("c", "token").agg(F.count("*").alias("m"), F.count_if("out").alias("outs"), F.min(F.struct("d", "sig")).alias("x")).where("m > 1 and outs > 0")
+    rows = materialize(rows.join(lists.select("c", "token", many.alias("many"), F.col("x.sig").alias("centre")), ["c", "token"]), "jaccard-differences")
+    short = rows.where("not many")
+    x, y = short.where("out").alias("x"), short.alias("y")
+    f = lambda k: (F.col(f"x.{k}"), F.col(f"y.{k}"))
+    (px, py), (dx, dy), (nx, ny), (fx, fy) = f("pos"), f("d"), f("n"), f("first")
+    roles = (py < fy) & (~F.col("y.out") | ((F.col("x.sig") < F.col("y.sig")) & (px < fx)))
+    enough = 7 * (dx + dy) - nx - ny <= 14 * (1 + F.least(dx - 1 - px, dy - 1 - py))
+    pairs = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.token") == F.col("y.token")) & roles & enough & _fits(nx, ny))
+    long = rows.where("many and sig <> centre").select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct()
+    return pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.lit("other").alias("how")), long
+
+
+def links(docs: DataFrame, described: DataFrame, light: int | None = None) -> DataFrame:
+    """Edges (u, v, how) between classes (sig) whose components are those of all links. how: found by light or heavy classes, by a list's centre, or otherwise."""
+    common = described.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(MOST_COMMON).select("sig").toPandas().sig.to_numpy(np.int64)
+    postings = prefixes(docs, np.sort(common.view(np.uint64)))
+    # A shingle that is common anywhere is taken as shared, and its postings are spread; the others have few.
+    by = W.partitionBy("key")
+    postings = postings.withColumn("key", F.when(F.col("often"), F.xxhash64("token", "sig")).otherwise(F.col("token")))
+    shared = postings.withColumn("lo", F.min("sig").over(by)).withColumn("hi", F.max("sig").over(by)).where("often or lo < hi").select("key", "token", "sig", "n", "place").distinct()
+    heads = shared.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "place")).alias("t")).where("size(t) > 1")  # at most a prefix each; linked sets share two places
+    heads = materialize(heads, "jaccard-prefixes")
+    members = groups(heads, boundary(heads) if light is None else light)
+    lists = materialize(_lists(members), "jaccard-lists")
+    long = materialize(_dealt(lists), "jaccard-members")
+    pairs = materialize(_once(_short(lists).unionByName(_across(lists, long))), "jaccard-pairs")
+    pairs = materialize(_may(pairs, heads), "jaccard-pairs")
+    wanted = pairs.select("a", "b").unionByName(long).select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    sets = materialize(_fetch(docs, described, wanted), "jaccard-sets")
+    edges, level = None, 0
+    while long.limit(1).count():
+        level += 1
+        stars = materialize(_stars(long, sets), "jaccard-stars")
+        met = stars.where("not out").select(F.col("c").alias("u"), F.col("sig").alias("v"), F.lit("centre").alias("how"))
+        edges = met if edges is None else edges.unionAll(met)
+        more, long = _apart(stars, level == LEVELS)
+        pairs = pairs.unionByName(more)
+        if level == LEVELS:
+            break
+        long = materialize(long, "jaccard-members")
+    if level:
+        pairs = materialize(_once(pairs), "jaccard-pairs")
+    found = _verified(pairs, sets)
+    return materialize(found if edges is None else edges.unionByName(found), "jaccard-links")
+
+
+def _fetch(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
+    keys = described.where("kind = 0").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row_key").alias("row_key")).select("row_key")
+    return full_sets(docs, materialize(keys, "jaccard-wanted"))
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row_key, n_shingles, sig) of each document, and (sig, root) of the classes with a link."""
     described = materialize(describe(docs), "jaccard-documents")
-    comp = components(links(docs, described)).withColumnRenamed("node", "sig")
+    with scratch(docs.sparkSession):
+        edges = links(docs, described).select("u", "v")
+        comp = components(edges, keep=1).withColumnRenamed("node", "sig")
     return described.where("kind = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "sig"), comp
 
 

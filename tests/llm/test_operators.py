@@ -118,22 +118,48 @@ def clusters(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("rounds", "cost"), [(2, 32), (1, 0.001), (1, 1e9)])
-def test_jaccard_components_are_exact(docs, empty, monkeypatch, rounds, cost):
-    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
-    monkeypatch.setattr(jaccard_join, "STAR_LISTS", 1)
+@pytest.mark.parametrize(("most", "levels", "cost"), [(16, 4, 3), (1, 4, 0.001), (1, 4, 1e9), (2, 1, 3)])
+def test_jaccard_components_are_exact(docs, empty, monkeypatch, most, levels, cost):
+    monkeypatch.setattr(jaccard_join, "MOST", most)  # of 1: all lists go through their centres
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
     monkeypatch.setattr(jaccard_join, "SUBSET_COST", cost)  # nearly all light, or all heavy
     want = clusters((r.doc_id, r.text) for r in docs.collect())
     got = jaccard_join.cluster(docs).collect()
     assert len(got) == docs.count()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
-    if rounds == 2:
+    if most == 16:
         kept = jaccard_join.keep_first(docs)
         assert kept.columns == docs.columns
         assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
         assert jaccard_join.cluster(empty).count() == 0
 
 
+@pytest.mark.parametrize("levels", [1, 4])
+def test_jaccard_of_one_large_group(spark, monkeypatch, levels):
+    """Members near, at and beyond the threshold of their centre, some linked only with each other, and copies of copies."""
+    monkeypatch.setattr(jaccard_join, "MOST", 2)
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(120)]
+
+    def edited(w, n):
+        w = list(w)
+        for _ in range(n):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[f"e{rng.randrange(30)}"], [], [w[i], f"e{rng.randrange(30)}"]])
+        return w
+
+    rows = [base] + [edited(base, rng.randrange(1, 9)) for _ in range(60)]
+    rows += [edited(rng.choice(rows), rng.randrange(1, 6)) for _ in range(80)]
+    rows += [w[:80] + [f"t{i}" for i in range(k)] for w, k in zip(rows[60:90], range(10, 40))]
+    texts_ = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want = clusters(texts_)
+    got = jaccard_join.cluster(spark.createDataFrame(texts_, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    sizes = Counter(c for _, c in want.values())
+    assert max(sizes.values()) > 40 and sum(n == 1 for n in sizes.values()) > 5 and sum(1 < n < 40 for n in sizes.values()) > 1
+
+
 def test_jaccard_keeps_one_row_of_each_component(spark):
     w = [f"x{i}" for i in range(40)]
     near, unique, other = " ".join(w[:39]), " ".join(f"y{i}" for i in range(20)), " ".join(f"z{i}" for i in range(20))
@@ -163,7 +189,10 @@ def test_components(spark):
 
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    frame = spark.createDataFrame(edges, "u bigint, v bigint")
+    got = {r.node: r.root for r in graph.components(frame).collect()}
+    with pytest.raises(RuntimeError, match="not settled"):
+        graph.components(frame, most_rounds=1)
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
