@@ -24,8 +24,8 @@ x differs from c in the set D(x). As x and y link if and only if their symmetric
 their sizes, and D(x) and D(y) have that symmetric difference too, members that link with c need no
 pair of their own, and a member that does not link with c can only link with a y that shares at least
 (|D(x)| + |D(y)| - (|x| + |y|) / 7) / 2 > 0 shingles of D. So the search goes on with the prefixes of the
-differences, where all that the group has in common is gone, and lists (c, shingle) that are
-still long get a centre of their own. After LEVELS such steps the rest is expanded, so no link is lost.
+differences, where all that the group has in common is gone, and copies of a copy, which share a large part of their
+differences, are dealt to groups of their own again, up to LEVELS times. No link is lost.
 Links of a group's members to its centre cost its size, not its square.
 
 Nulls and empty texts: no set, a component of their own (doc_id itself). A null doc_id has the
@@ -61,7 +61,7 @@ PARTS = 256
 MOST = 16
 #: The part of a class's prefix that must lie in long lists of one centre for the class to be in its group.
 LIKELY = 0.25
-#: Long lists of differences are refined so often.
+#: Groups are dealt anew, by differences, so often.
 LEVELS = 4
 BROADCAST_ROWS = 1_000_000
 #: What forming and shuffling a subset costs, in list entries scanned (which are met in a row and seldom leave it).
@@ -325,19 +325,19 @@ def _stars(wanted: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _apart(stars: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, how) that may link though one does not link with their centre, and the members (a: centre, b) of lists that are too long to give them."""
-    rows = stars.select("c", "sig", "n", "d", "out", "first", F.posexplode("pre").alias("pos", "token"))
-    many = (F.col("outs") * F.col("m") > MOST * MOST) if not last else F.lit(False)
+    """Pairs (a, b, how) that may link though one of them does not link with their centre, and the groups (a: centre, b) inside groups, whose own pairs are left out."""
+    rows = stars.select("c", "sig", "n", "d", "out", "first", F.size("pre").alias("size"), F.posexplode("pre").alias("pos", "token"))
     lists = rows.groupBy("c", "token").agg(F.count("*").alias("m"), F.count_if("out").alias("outs"), F.min(F.struct("d", "sig")).alias("x")).where("m > 1 and outs > 0")
-    rows = materialize(rows.join(lists.select("c", "token", many.alias("many"), F.col("x.sig").alias("centre")), ["c", "token"]), "jaccard-differences")
-    short = rows.where("not many")
-    x, y = short.where("out").alias("x"), short.alias("y")
+    rows = materialize(rows.join(lists.select("c", "token", (F.col("outs") * F.col("m") > MOST * MOST).alias("many"), F.col("x.sig").alias("centre")), ["c", "token"]), "jaccard-differences")
+    often = rows.where("many and sig <> centre").groupBy("sig", "size", "centre").agg(F.count("*").alias("k")).where(F.lit(not last) & (F.col("k") >= LIKELY * F.col("size")))
+    long = materialize(often.groupBy("sig").agg(F.max(F.struct("k", "centre")).alias("x")).select(F.col("x.centre").alias("a"), F.col("sig").alias("b")), "jaccard-members")
+    rows = rows.join(long.select(F.col("b").alias("sig"), F.col("a").alias("of")), "sig", "left").withColumn("of", F.coalesce("of", "sig"))
+    x, y = rows.where("out").alias("x"), rows.alias("y")
     f = lambda k: (F.col(f"x.{k}"), F.col(f"y.{k}"))
     (px, py), (dx, dy), (nx, ny), (fx, fy) = f("pos"), f("d"), f("n"), f("first")
     roles = (py < fy) & (~F.col("y.out") | ((F.col("x.sig") < F.col("y.sig")) & (px < fx)))
     enough = 7 * (dx + dy) - nx - ny <= 14 * (1 + F.least(dx - 1 - px, dy - 1 - py))
-    pairs = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.token") == F.col("y.token")) & roles & enough & _fits(nx, ny))
-    long = rows.where("many and sig <> centre").select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.of") != F.col("y.of")) & roles & enough & _fits(nx, ny))
     return pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.lit("other").alias("how")), long
 
 
@@ -366,9 +366,6 @@ def links(docs: DataFrame, described: DataFrame, light: int | None = None) -> Da
         edges = met if edges is None else edges.unionAll(met)
         more, long = _apart(stars, level == LEVELS)
         pairs = pairs.unionByName(more)
-        if level == LEVELS:
-            break
-        long = materialize(long, "jaccard-members")
     if level:
         pairs = materialize(_once(pairs), "jaccard-pairs")
     found = _verified(pairs, sets)
@@ -376,7 +373,7 @@ def links(docs: DataFrame, described: DataFrame, light: int | None = None) -> Da
 
 
 def _fetch(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
-    keys = described.where("kind = 0").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row_key").alias("row_key")).select("row_key")
+    keys = described.where("kind = 0").groupBy("sig").agg(F.min("row_key").alias("row_key")).join(wanted, "sig", "left_semi").select("row_key")
     return full_sets(docs, materialize(keys, "jaccard-wanted"))
 
 
