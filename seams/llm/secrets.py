@@ -2,19 +2,20 @@
 
 Each rule is a regex. From its syntax tree comes a Boolean query over lower-cased
 trigrams that any match must hold (`trigram_query`): literals give the trigrams of
-their strings, sequences AND, branches OR. The index has a posting (trigram, text
-hash) for each trigram that some query asks for. A query's clauses intersect postings
-by counting, per text and clause, how many of the clause's trigrams are there; texts
+their strings, sequences AND, branches OR. The index is partitioned by document: a row's postings are
+the trigrams that some query asks for and its text holds, and they stay in the row, so no text is ever moved and
+copies and hot sources cost what other rows cost. A query's clauses are intersected with the row's postings; rows
 that pass are verified with the regex itself. Rules without a mandatory trigram
 (the hex rule) scan every text.
 
 Spans are code points, end exclusive, leftmost and non-overlapping within a kind. To
 get them without leaving the JVM, matches are framed by a control character (one that
 no rule can match, and that is first replaced where a text holds it) and the lengths of
-the pieces are summed up.
+the pieces are summed up. The span of a private key goes to its END line, or, where that is missing, over up to 200 lines of base64.
 
-Nulls: a null text is empty. Postings go by text, so repeated rows share them and null
-ids are scanned like others.
+Nulls: a null text is empty and has no spans; `redact` leaves it null. Repeated rows and null ids are scanned like others, texts
+whole whatever their length. Spans of different kinds that start together are in the order of RULES. Other columns, of whatever
+name, are kept as they are. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re._constants as C
 import re._parser as parser
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ MORE = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s{1,2}[A-Za-z0-9+/=]{16,}){0,200})"),
     Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9_.-]{1,64}:[A-Za-z0-9_.%+~-]{1,64}@"),
 )
 RULES = BASE + MORE
@@ -130,24 +132,17 @@ def trigram_query(pattern: str) -> frozenset[Clause]:
     return ALWAYS if frozenset() in query else query
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(text)
-
-
-def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(trigram, key) for the trigrams that the rules ask for. texts: text, not null."""
+def postings(low: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The trigrams that the rules ask for and the lower-case text holds."""
     asked = sorted({t for r in rules for clause in trigram_query(r.pattern) for t in clause})
-    low = texts.select(text_key(F.col("text")).alias("key"), F.lower("text").alias("low"))
-    there = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in asked] or [F.lit(None).cast("string")]))
-    return low.select("key", F.explode(there).alias("trigram"))
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in asked] or [F.lit(None).cast("string")]))
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, __mask): bit i is set if the text may match rules[i]. Rules that scan fully are not in it."""
-    clauses = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("rule", "clause", "trigram", "size"), (i, j, t, len(c)))]) for i, r in enumerate(rules) for j, c in enumerate(sorted(map(sorted, trigram_query(r.pattern)))) for t in c]
-    table = index.sparkSession.range(1).select(F.inline(F.array(*clauses)))
-    met = index.distinct().join(F.broadcast(table), "trigram").groupBy("key", "rule", "clause").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size")
-    return met.groupBy("key").agg(F.expr("bit_or(shiftleft(1L, rule))").alias("__mask"))
+def candidate(index: Column, rule: Rule) -> Column:
+    """Whether a text with these postings may match."""
+    query = sorted(map(sorted, trigram_query(rule.pattern)))
+    met = [F.size(F.array_intersect(index, F.array(*map(F.lit, c)))) == len(c) for c in query if c]
+    return reduce(lambda x, y: x | y, met) if len(met) == len(query) else F.lit(True)
 
 
 _FRAME = "\u0001"
@@ -173,16 +168,12 @@ def _spans(text: str, may: Column, rules: tuple[Rule, ...], i: int) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with __spans, an array of (start, kind as a place in rules, end) in order, and __text (null: empty)."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select(*names, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    full = [i for i, r in enumerate(rules) if trigram_query(r.pattern) == ALWAYS]
-    masks = candidates(postings(own.select(F.col("__text").alias("text")), rules), rules).withColumnRenamed("key", "__key")
-    met = own.withColumn("__key", text_key(F.col("__text"))).join(masks, "__key", "left")
-    for i in range(len(rules)):
-        may = F.lit(True) if i in full else F.coalesce(F.shiftright(F.col("__mask"), i) % 2 == 1, F.lit(False))
-        met = met.withColumn(f"__s{i}", _spans("__text", may, rules, i))
-    return met.select(*names, "__text", F.array_sort(F.concat(*[F.col(f"__s{i}") for i in range(len(rules))])).alias("__spans"))
+    """(row, text, spans): docs' columns as a struct, the text (null: empty), and its spans, an array of (start, kind as a place in rules, end) in order."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    met = own.withColumn("low", F.lower("text")).withColumn("index", postings(F.col("low"), rules))
+    for i, r in enumerate(rules):
+        met = met.withColumn(f"s{i}", _spans("text", candidate(F.col("index"), r), rules, i))
+    return met.select("row", "text", F.array_sort(F.concat(*[F.col(f"s{i}") for i in range(len(rules))])).alias("spans"))
 
 
 def shown(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -194,9 +185,9 @@ def shown(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, counts and digest of the base kinds, and all spans."""
     found = scan(docs.select("doc_id", "text"), "text", rules)
-    n = [F.expr(f"cast(size(filter(__spans, s -> s.kind = {i})) as bigint)").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
-    base = F.filter("__spans", lambda s: s["kind"] < len(BASE))
-    return found.select("doc_id", *n, F.sha2(shown(base, rules), 256).alias("base_sha256"), shown(F.col("__spans"), rules).alias("spans"))
+    n = [F.expr(f"cast(size(filter(spans, s -> s.kind = {i})) as bigint)").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE))
+    return found.select("row.doc_id", *n, F.sha2(shown(base, rules), 256).alias("base_sha256"), shown(F.col("spans"), rules).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
@@ -204,21 +195,19 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     found = scan(docs, "text", rules)
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("__text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         fresh = (s["start"] >= acc["at"]) & (s["end"] > acc["at"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    walked = F.aggregate("__spans", start, step)
-    rest = F.expr("substring(__text, cast(__walk.at + 1 as int))")
-    out = found.withColumn("__walk", F.when(F.size("__spans") > 0, walked))
-    text = F.when(F.col("__walk").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.col("__walk.out"), ""), rest))
+    out = found.withColumn("walk", F.when(F.size("spans") > 0, F.aggregate("spans", start, step)))
+    text = F.concat(F.array_join(F.col("walk.out"), ""), F.expr("substring(text, cast(walk.at + 1 as int))"))
     columns = []
     for f in docs.schema:
-        c = F.col(f"`{f.name}`")
+        c = F.col("row")[f.name]
         if f.name == "text":
-            c = text
+            c = F.when(F.col("walk").isNull(), c).otherwise(text)
         elif f.name == "n_chars":
-            c = F.when(F.col("__walk").isNull(), c).otherwise(F.char_length(text).cast(f.dataType))
+            c = F.when(F.col("walk").isNull(), c).otherwise(F.char_length(text).cast(f.dataType))
         columns.append(c.alias(f.name))
     return out.select(*columns)
