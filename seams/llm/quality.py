@@ -12,7 +12,9 @@ certified cutoffs the one with the best `bad rate - cost x clean rate` is taken;
 stratum with too few labels to certify any cutoff rejects nothing by rule.
 
 Nulls: a null text has no words; a null stratum is a stratum of its own. Repeated
-rows are judged alike. Labels that are repeated count once per document, as clean
+rows are judged alike, texts whole whatever their length. A ratio equal to its cutoff (a tie) is not rejected; of cutoffs of equal value
+the more lenient one is taken. Columns of docs may have any names, those of results too. No documents: no rows; no labels: no rule
+but the base. Labels that are repeated count once per document, as clean
 if any says so; null labels and null ids are not used.
 """
 
@@ -170,5 +172,9 @@ def verdicts(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are kept, with docs' columns."""
-    cutoffs = calibrate(materialize(with_stats(docs, keep=("doc_id", "lang")), "quality-stats"), labels, **how)
-    return judge(with_stats(docs), cutoffs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # as columns of any name may be there
+    place = {c: f"c{names.index(c)}" for c in ("doc_id", "lang", "text")}
+    stats = materialize(with_stats(renamed, place["text"]), "quality-stats")
+    kept = judge(stats, calibrate(stats, labels, doc_id=place["doc_id"], stratum=place["lang"], **how), place["lang"]).where("kept")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
