@@ -3,6 +3,12 @@
 Removed are what the quality rules reject, all but the first of each group of near
 copies, and documents with benchmark passages; secrets are masked in the text; what is
 left is packed into sequences.
+
+Nulls: a document without text is rejected by the quality rules (it has no words), rows with a null doc_id, lang or other
+column go through like others. Repeated rows are copies: one stays. Of near copies the one with the least doc_id stays.
+Texts are read whole, whatever their length. Further columns of documents, whatever their names, are carried to the last
+stage, which has its own. Without documents each stage is empty; without labels only the base rules reject, and without
+a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seams.llm import decontaminate, jaccard_join, packing, quality, secrets
 from seams.llm.queries import tokenizer_path
-from seams.llm.store import materialize
+from seams.llm.store import materialize, scratch
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=1)
     return docs
 
 
