@@ -32,6 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--feedback", help="folder of the decision log")
     a.add_argument("--output", default="seams-output")
     a.add_argument("--top", type=int, default=20)
+    a.add_argument("--model", help="folder of a saved model, to rank by where there are too few labels")
     a.add_argument("--as-of", type=float, help="epoch seconds of now")
     g = sub.add_parser("gen-labels", help="template of labels from the last report")
     g.add_argument("--output", default="seams-output")
@@ -53,14 +54,14 @@ def main(arguments: list[str] | None = None) -> int:
     args = _parser().parse_args(arguments)
     spark = session()
     if args.command == "analyze":
-        config = EngineConfig(code_roots=tuple(args.code), document_folder=args.docs, trace_files=tuple(args.traces), repository=args.repo, labels_file=args.labels, feedback_path=args.feedback, output=args.output, top_k=args.top, as_of=args.as_of)
+        config = EngineConfig(code_roots=tuple(args.code), document_folder=args.docs, trace_files=tuple(args.traces), repository=args.repo, labels_file=args.labels, feedback_path=args.feedback, output=args.output, top_k=args.top, as_of=args.as_of, saved_model=args.model)
         result = Engine(spark, config).analyze()
         if result.ranked is None:
             print("no units found")
             return 1
         for r in rank.top(result.ranked, args.top).collect():
             print(f"{r.boundary_score:6.3f} {'#' * round(20 * r.boundary_score):20} {_short(r.comp_a)} | {_short(r.comp_b)} -> {r.suggested_service}")
-        for r in result.clusters.where("cluster >= 0").groupBy("cluster").agg(F.array_sort(F.collect_list("unit")).alias("units")).orderBy("cluster").collect():
+        for r in () if result.clusters is None else result.clusters.where("cluster >= 0").groupBy("cluster").agg(F.array_sort(F.collect_list("unit")).alias("units")).orderBy("cluster").collect():
             print(f"cluster {r.cluster}: {', '.join(map(_short, r.units))}")
     elif args.command == "gen-labels":
         ranked = spark.read.parquet(f"{args.output}/ranked")

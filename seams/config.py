@@ -22,7 +22,9 @@ class EngineConfig:
     feedback_path: str | None = None
     output: str | None = None
 
-    as_of: float | None = None  # epoch seconds of "now"; None: of the last commit
+    saved_model: str | None = None  # folder of a model to rank by where there are too few labels to train one
+    as_of: float | None = None  # epoch seconds of "now"; None: of the run
+    # Limits, weights and tree settings that define the results.
     max_features: int = 5000
     strong_coupling: int = 5
     max_commits: int = 1000
@@ -44,6 +46,7 @@ class EngineConfig:
     depth: int = 4
     step: float = 0.05
     subsample: float = 0.8
+    patience: int = 20  # trees without a better validation loss before boosting stops
     seed: int = 42
     cluster_size: int = 3
     cluster_samples: int = 2

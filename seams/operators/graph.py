@@ -24,7 +24,7 @@ class TooLarge(ValueError):
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 5, most: int = MOST_EDGES) -> DataFrame:
     """(unit_id, pagerank) by power iteration over weighted edges (source, target, weight).
 
-    The mass of nodes without outgoing edges is spread evenly. Stops when the sum of changes
+    Edges from or to unknown nodes are left out. The mass of nodes without outgoing edges is spread evenly. Stops when the sum of changes
     is below n x tolerance; after `rounds` it raises, unless tolerance is 0. A graph of at most MOST_EDGES
     nodes and edges (they are counted) is ranked in memory; in a larger one a round is a join
     and an aggregation, and every few rounds the ranks are checkpointed, which ends their lineage.
@@ -33,6 +33,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
     n = nodes.count()
     if not n:
         return nodes.withColumn("pagerank", F.lit(0.0))
+    for end in ("source", "target"):
+        edges = edges.join(nodes.withColumnRenamed("unit_id", end), end, "left_semi")
     if n <= most and edges.count() <= most:
         names = np.sort(nodes.toPandas().unit_id.to_numpy(str))
         return nodes.sparkSession.createDataFrame(pd.DataFrame({"unit_id": names, "pagerank": _ranks(names, edges.groupBy("source", "target").agg(F.sum("weight").cast("double").alias("weight")).toPandas(), alpha, rounds, tolerance)}))

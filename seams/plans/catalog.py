@@ -39,6 +39,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _over(spark: SparkSession, d: str, name: str, sql: str) -> DataFrame:
+    """sql over one table of the folder."""
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(f"from {name}", "from {source}"), source=table(spark, d, name))
+
+
 def seconds(column: str) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz"))
 
@@ -189,8 +194,7 @@ select cast(f as varchar) as file, seq, grammar, case when grammar in ('log4j',
  case when grammar = 'call_notation' then regexp_extract(line, '->\\s*([\\w$.]+)', 1) end as target,
  case when grammar = 'call_notation' then coalesce(try_cast(regexp_extract(line, 'depth=(\\d+)', 1) as int), 0) else 0 end as depth from g where grammar is not null""")
 def q14_parse_trace_lines(spark, d):
-    table(spark, d, "events").createOrReplaceTempView("_trace_events")
-    lines = spark.sql(_SQL_LINES.format(ts="date_format(ts, 'yyyy-MM-dd HH:mm:ss')").replace("from events", "from _trace_events"))
+    lines = _over(spark, d, "events", _SQL_LINES.format(ts="date_format(ts, 'yyyy-MM-dd HH:mm:ss')"))
     return behavior.parse_lines(lines.select(F.col("f").cast("string").alias("file"), "seq", "line"))
 
 
@@ -201,10 +205,9 @@ _SQL_NAMES = "select distinct case p_partkey % 4 when 0 then 'com.' || p_brand w
 select n.name, coalesce(e.unit_id, min_by(s.unit_id, s.idx)) as unit_id from n left join i e on e.unit_id = n.name left join i s on string_split(s.unit_id, '.')[-1] = string_split(n.name, '.')[-1] group by n.name, e.unit_id""")
 def q15_resolve_component_names(spark, d):
     part = table(spark, d, "part")
-    part.createOrReplaceTempView("_named_parts")
     units = part.select(F.concat(F.lit("com."), "p_brand").alias("unit_id")).distinct()
     units = units.withColumn("unit_idx", F.row_number().over(W.orderBy("unit_id")))  # the brands
-    return behavior.resolve_names(spark.sql(_SQL_NAMES.replace("from part", "from _named_parts")), units)
+    return behavior.resolve_names(_over(spark, d, "part", _SQL_NAMES), units)
 
 
 @query("""with n as (select role as src, lead(role) over (partition by conv_id order by turn, role) as dst, turn from conversations)
@@ -422,8 +425,7 @@ tr as (select source, pos, name, 0 as rank, name as symbol from pa
 hit as (select source, pos, name, min_by(unit_id, rank) as target from tr join sy on sy.symbol = tr.symbol group by 1, 2, 3)
 select im.source, im.pos, im.name, target from im left join hit on hit.source = im.source and hit.pos = im.pos""")
 def q30_resolve_imports(spark, d):
-    table(spark, d, "part").createOrReplaceTempView("_import_parts")
-    return structure.resolve_imports(spark.sql(_SQL_IMPORTS.replace("from part", "from _import_parts")), structure.symbol_table(_classes(spark, d)))
+    return structure.resolve_imports(_over(spark, d, "part", _SQL_IMPORTS), structure.symbol_table(_classes(spark, d)))
 
 
 _EDGES = """ed as (select c.n_name as source, s.n_name as target, count(*) as weight from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
@@ -619,18 +621,17 @@ _SQL_NAMED = "select p_partkey, 'x.' || replace(p_name, ' ', '') || 'Service' as
 
 @query(f"with n as ({_SQL_NAMED}) select p_partkey, {_sql_name('a', 'b')} as name from n")
 def q43_suggest_name(spark, d):
-    table(spark, d, "part").createOrReplaceTempView("_name_parts")
-    return spark.sql(_SQL_NAMED.replace("from part", "from _name_parts")).select("p_partkey", T.suggest_name(F.col("a"), F.col("b")).alias("name"))
+    return _over(spark, d, "part", _SQL_NAMED).select("p_partkey", T.suggest_name(F.col("a"), F.col("b")).alias("name"))
 
 
 _RATIONALE = ("structural_channel", "behavioral_channel", "evolutionary_channel", "cross_layer_bonus", "weights_adapted", "w_structural", "w_behavioral", "w_evolutionary")
 
 
-@query(f"""with {_CHANNELS} select comp_a, comp_b, round(structural * w_structural, 4) as structural_channel, round(behavioral * w_behavioral, 4) as behavioral_channel, round(evolutionary * w_evolutionary, 4) as evolutionary_channel,
- round(cross_layer_flag * 0.15, 4) as cross_layer_bonus, cast(adapted as double) as weights_adapted, round(w_structural, 4) as w_structural, round(w_behavioral, 4) as w_behavioral, round(w_evolutionary, 4) as w_evolutionary from rk""")
+@query(f"""with {_CHANNELS} select comp_a, comp_b, round(structural * w_structural, 5) as structural_channel, round(behavioral * w_behavioral, 5) as behavioral_channel, round(evolutionary * w_evolutionary, 5) as evolutionary_channel,
+ round(cross_layer_flag * 0.15, 5) as cross_layer_bonus, cast(adapted as double) as weights_adapted, round(w_structural, 4) as w_structural, round(w_behavioral, 4) as w_behavioral, round(w_evolutionary, 4) as w_evolutionary from rk""")
 def q44_rationale_composite(spark, d):
     ranked = _ranked(spark, d)
-    return rounded(ranked.select("comp_a", "comp_b", *[F.col("rationale")[k].alias(k) for k in _RATIONALE]), 4)
+    return rounded(ranked.select("comp_a", "comp_b", *[F.col("rationale")[k].alias(k) for k in _RATIONALE]), 5)
 
 
 @query(f"with {_CHANNELS} select comp_a, comp_b, round(boundary_score, 4) as boundary_score, suggested_service from rk order by rk.boundary_score desc, comp_a, comp_b limit 10")
@@ -638,34 +639,57 @@ def q45_top_boundaries(spark, d):
     return rounded(rank.top(_ranked(spark, d), 10).select("comp_a", "comp_b", "boundary_score", "suggested_service"), 4)
 
 
-_SMALL = EngineConfig(trees=20)
+def _whole_features(spark, d):
+    """All features of brands: with betweenness, settled ranks and the cosine of trained vectors."""
+    units, edges, sims, runtime, history = _brand_parts(spark, d)
+    found = settle(pairs.candidates(edges, sims, runtime, history, units))
+    centrality = graph.pagerank(units, edges).join(graph.betweenness(units, edges), "unit_id", "left")
+    words = table(spark, d, "part").select(F.col("p_brand").alias("unit"), T.tokenize(F.concat_ws(" ", "p_name", "p_type")).alias("words"))
+    model = similarity.word_vectors(words.select("words"))
+    vectors = similarity.mean_vectors(similarity.unit_vectors(model, words), model.getVectorSize())
+    semantic = similarity.vector_cosines(vectors, found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    return settle(pairs.assemble(found, units, edges, sims, semantic, centrality, runtime, history))
 
 
-def _model(spark, d):
-    labelled = pairs.with_labels(_features(spark, d), _latest(spark, d).select("comp_a", "comp_b", "label"))
-    labelled = settle(labelled)
-    return labelled, rank.train(labelled, _SMALL)
+def _labelled(spark, d):
+    return settle(pairs.with_labels(_whole_features(spark, d), _latest(spark, d).select("comp_a", "comp_b", "label")))
+
+
+def _supervised(spark, d):
+    labelled = _labelled(spark, d)
+    return rank.supervised(labelled, rank.train(labelled))
 
 
 @query()
 def q46_gbt_rank(spark, d):
-    return rank.supervised(*_model(spark, d)).drop("rationale")
+    return _supervised(spark, d).drop("rationale")
 
 
 @query()
 def q47_gbt_rationale_top8(spark, d):
-    ranked = rank.supervised(*_model(spark, d))
-    return ranked.select("comp_a", "comp_b", F.explode("rationale").alias("feature", "share"))
+    return _supervised(spark, d).select("comp_a", "comp_b", F.explode("rationale").alias("feature", "share"))
 
 
 @query()
 def q48_stratified_cv_auc(spark, d):
-    return rank.cross_validate(_model(spark, d)[0], _SMALL)
+    return rank.cross_validate(_labelled(spark, d))
 
 
 @query()
 def q49_smote_resample(spark, d):
-    return rank.smote(_model(spark, d)[0])
+    return rank.smote(_labelled(spark, d))
+
+
+@query()
+def q59_whole_pair_features(spark, d):
+    return rounded(_whole_features(spark, d))
+
+
+@query()
+def q60_whole_composite_rank(spark, d):
+    labels = settle(_latest(spark, d).select("comp_a", "comp_b", "label"))
+    scored = settle(rank.channels(pairs.with_labels(_whole_features(spark, d), labels)))
+    return rounded(rank.composite(scored, rank.adaptive_weights(scored, labels)).select("comp_a", "comp_b", "boundary_score", "suggested_service"))
 
 
 @query()
@@ -709,8 +733,7 @@ _SQL_BULK = "select case when doc_id % 7 = 0 then '' else 'd' || doc_id end as c
 @query(f"""with b as ({_SQL_BULK}), v as (select comp_a, case when lower(label) in ('1', 'true') then 1 when lower(label) in ('0', 'false') then 0 end as n from b)
 select count(*) filter (n is not null and comp_a <> '') as recorded, count(*) filter (not (n is not null and comp_a <> '')) as skipped from v""")
 def q55_feedback_bulk_validation(spark, d):
-    table(spark, d, "labels").createOrReplaceTempView("_bulk_labels")
-    checked = feedback.validate(spark.sql(_SQL_BULK.replace("from labels", "from _bulk_labels")))
+    checked = feedback.validate(_over(spark, d, "labels", _SQL_BULK))
     return checked.agg(F.count_if("valid").alias("recorded"), F.count_if(~F.col("valid")).alias("skipped"))
 
 

@@ -106,6 +106,27 @@ class Engine:
         model = similarity.word_vectors(every, seed=self.config.seed)
         return similarity.vector_cosines(similarity.unit_vectors(model, sentences), candidates.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
 
+    def train(self, labelled: DataFrame):
+        """A model of labelled pairs (FEATURES, label), saved in the output folder, if there is one; None with too few labels."""
+        model = rank.train(labelled, self.config)
+        if model is not None and self.config.output:
+            rank.save(model, f"{self.config.output}/model")
+        return model
+
+    def train_from_decisions(self, features: DataFrame) -> tuple[dict[str, float], DataFrame] | None:
+        """Importances, and the cross-validation, of a model of all stored and given decisions on pairs (FEATURES); None with too few."""
+        labelled = settle(pairs.with_labels(features.drop("label"), self.labels()))
+        model = self.train(labelled)
+        return None if model is None else (rank.importances(model), rank.cross_validate(labelled, self.config))
+
+    def feature_importances(self) -> dict[str, float]:
+        """Of the model in the folder of saved models or of output; none without one."""
+        for path in (self.config.saved_model, self.config.output and f"{self.config.output}/model"):
+            model = rank.load(path) if path else None
+            if model is not None:
+                return rank.importances(model)
+        return {}
+
     def analyze(self) -> Result:
         c, spent, began = self.config, {}, time.time()
 
@@ -140,12 +161,12 @@ class Engine:
         labelled = settle(pairs.with_labels(features, labels))
         result.edges, result.features = edges, labelled
         lap("features")
-        model = rank.train(labelled, c)
+        model = self.train(labelled)
+        if model is None and c.saved_model:
+            model = rank.load(c.saved_model)
         if model is not None:
             result.mode, result.importances = "supervised", rank.importances(model)
             result.ranked = rank.supervised(labelled, model)
-            if c.output:
-                model.write().overwrite().save(f"{c.output}/model")
         else:
             result.mode = "composite"
             scored = rank.channels(labelled).cache()

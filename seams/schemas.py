@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: The 19 features of a pair, in the order of the feature vector.
+# The 19 features of a pair, in the order of the feature vector.
 FEATURES = (
     "structural_coupling_weight",
     "tfidf_cosine_similarity",

@@ -3,6 +3,7 @@
 import json
 import random
 import subprocess
+import time
 
 import numpy as np
 import pytest
@@ -149,6 +150,72 @@ def test_supervised(spark):
     assert made[0] == made[1]
 
 
+def labelled_pairs(spark, n, seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        label = int(i % 5 == 0)
+        rows.append((f"a{i:04}", f"b{i:04}", *[rng.random() + 0.3 * label for _ in FEATURES], label))
+    rows += [(f"c{i}", "d", *rows[0][2:]) for i in range(2)]  # equal rows
+    return spark.createDataFrame(rows, "comp_a string, comp_b string, " + ", ".join(f"{f} double" for f in FEATURES) + ", label int")
+
+
+def test_resampled_rows_lie_between_neighbours(spark):
+    frame = labelled_pairs(spark, 300)
+    began = time.time()
+    rows = rank.smote(frame).collect()
+    assert time.time() - began < 60  # the plan once grew without end
+    own = [np.array(r[2:-1], float) for r in frame.where("label = 1").collect()]
+    made = [np.array(r[:-1], float) for r in rows if r.label == 1]
+    assert sum(r.label == 0 for r in rows) == len(made) == 240
+    old = {tuple(x) for x in own}
+    near = []
+    for i, x in enumerate(own):
+        far = sorted((((x - y) ** 2).sum(), j) for j, y in enumerate(own) if i != j)
+        near += [(x, own[j]) for d, j in far if d <= far[2][0] + 1e-12]
+
+    def between(x, a, b):
+        length = ((b - a) ** 2).sum()
+        t = (x - a) @ (b - a) / length if length else 0
+        return -1e-9 <= t <= 1 + 1e-9 and np.allclose(a + t * (b - a), x)
+
+    fresh = [x for x in made if tuple(x) not in old]
+    assert all(any(between(x, a, b) for a, b in near) for x in fresh)
+    assert len(fresh) > 100
+    assert rank.smote(frame.limit(0)).count() == 0
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(rank, "MOST_MINORITY", 5)
+        with pytest.raises(rank.TooMany):
+            rank.smote(frame)
+
+
+def test_boosting_stops_early_and_models_are_loaded(spark, tmp_path):
+    assert rank.stop_after([3, 2, 1, 1, 1, 1], 3) == 6 and rank.stop_after([3, 2, 1], 3) is None and rank.stop_after([1, 2, 2], 2) == 3
+    frame = labelled_pairs(spark, 60)
+    model = rank.train(frame, EngineConfig(trees=6, patience=1))
+    assert 1 <= model.getNumTrees <= 6
+    short = rank._first_trees(model, 1)
+    assert short.getNumTrees == 1 and 0 <= rank.supervised(frame, short).first().boundary_score <= 1
+    rank.save(model, str(tmp_path / "m"))
+    again = rank.load(str(tmp_path / "m"))
+    assert [r.boundary_score for r in rank.supervised(frame, again).orderBy("comp_a").collect()] == [r.boundary_score for r in rank.supervised(frame, model).orderBy("comp_a").collect()]
+    assert rank.load(str(tmp_path / "none")) is None
+
+
+def test_cross_validation(spark):
+    got = rank.cross_validate(labelled_pairs(spark, 60), EngineConfig(trees=4), folds=3).collect()
+    assert [r.fold for r in got] == [0, 1, 2] and all(0 <= r.auc <= 1 for r in got)
+    assert got[0].mean == pytest.approx(np.mean([r.auc for r in got])) and got[0].std == pytest.approx(np.std([r.auc for r in got]))
+
+
+def test_ranks_leave_out_unknown_ends(spark):
+    nodes = spark.createDataFrame([("a",), ("c",)], "unit_id string")
+    edges = spark.createDataFrame([("a", "c", 1), ("a", "b", 5), ("z", "c", 5)], "source string, target string, weight long")
+    plain = {r.unit_id: r.pagerank for r in graph.pagerank(nodes, edges.limit(1)).collect()}
+    for most in (100, 0):
+        assert {r.unit_id: pytest.approx(r.pagerank) for r in graph.pagerank(nodes, edges, most=most).collect()} == plain
+
+
 def test_feedback_log(spark, tmp_path):
     log = feedback.FeedbackLog(spark, f"{tmp_path}/log")
     assert log.stats().first().last_updated == "never"
