@@ -160,9 +160,12 @@ def _first_trees(model, n: int):
     from pyspark.ml.classification import GBTClassificationModel
     from pyspark.sql import SparkSession
 
-    own, java = model._java_obj, SparkSession.getActiveSession()._jvm
-    first = java.java.util.Arrays.copyOf
-    return GBTClassificationModel(java.org.apache.spark.ml.classification.GBTClassificationModel(own.uid(), first(own.trees(), n), first(own.treeWeights(), n), own.numFeatures(), 2))
+    context = SparkSession.getActiveSession().sparkContext
+    own, ml, new = model._java_obj, context._jvm.org.apache.spark.ml, context._gateway.new_array
+    trees, weights = new(ml.regression.DecisionTreeRegressionModel, n), new(context._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = own.trees()[i], own.treeWeights()[i]
+    return GBTClassificationModel(ml.classification.GBTClassificationModel(own.uid(), trees, weights, own.numFeatures(), 2))
 
 
 def train(labelled: DataFrame, config: EngineConfig | None = None):
