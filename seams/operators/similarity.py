@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seams.checkpoints import settle
+
 
 def terms(texts: DataFrame) -> DataFrame:
     """texts (unit, text), any number of rows per unit -> (unit, term, n): words of two characters or more, and pairs of them in a row."""
@@ -19,7 +21,7 @@ def tfidf(texts: DataFrame, max_features: int = 5000, min_df: int | None = None)
 
     min_df is 2, or 1 with five units or fewer. Ties of frequency are in the order of terms.
     """
-    counts = terms(texts)
+    counts = settle(terms(texts))  # the statistics, the weights and the norms rest on it
     units = texts.select("unit").distinct().agg(F.count("*").alias("units"))
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf")).crossJoin(F.broadcast(units))  # one row
     least = F.when(F.col("units") <= 5, 1).otherwise(2) if min_df is None else F.lit(min_df)
