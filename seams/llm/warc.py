@@ -7,11 +7,13 @@ Deduplication shuffles headers only: the index rows meet by payload digest, the
 record with the least page_id of each digest becomes the response, and each archive
 is rewritten where its records' verdicts are brought to it: responses copied with
 fresh headers, the others turned into revisit records that keep the HTTP header
-and name their response.
+and name their response, its URI and its date.
 
 Nulls: a null payload is empty; a null url has no WARC-Target-URI; a null page_id has no
 X-Page-Id and comes last among equal payloads. Repeated rows are records of
-their own: of rows equal in page_id too, the first in its archive is the response.
+their own: of rows equal in page_id too (ties), the first in its archive is the response. page_id may be of any type that casts to a string and
+back, and is ordered as that type. A payload of any length is one record. Other columns, of whatever name, are not read. No pages: no
+records.
 """
 
 from __future__ import annotations
@@ -21,19 +23,23 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seams.llm.store import materialize, new_path
 
 ROLL_BYTES = 64 << 20
-DATE = "2024-01-01T00:00:00Z"
-INDEX = "archive string, position bigint, size bigint, record_id string, record_type string, page_id bigint, payload_bytes bigint, payload_digest string, refers_to bigint"
+INDEX = "archive string, position bigint, size bigint, record_id string, record_type string, page_id string, payload_bytes bigint, payload_digest string, refers_to string, uri string, date string"
 _NAMES = [x.split()[0] for x in INDEX.split(", ")]
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+_TYPES = [pa.int64() if x.endswith("bigint") else pa.string() for x in INDEX.split(", ")]
+
+
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -124,10 +130,11 @@ def _in_batches(rows: Iterator[tuple], size: int = 10_000) -> Iterator[pa.Record
     yield _rows(held)
 
 
-def write_responses(pages: DataFrame, date: str = DATE, payload: str = "html") -> DataFrame:
-    """Write a response record for each row (page_id, url, payload); returns their index."""
+def write_responses(pages: DataFrame, date: str | None = None, payload: str = "html") -> DataFrame:
+    """Write a response record for each row (page_id, url, payload); returns their index. date: of the records, the present time by default."""
+    date = date or now()
     folder = new_path(pages.sparkSession, "warc")
-    source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col(f"`{payload}`").cast("string").alias("html"))
+    source = pages.select(F.col("page_id").cast("string"), F.col("url").cast("string"), F.col(f"`{payload}`").cast("string").alias("html"))
 
     def run(batches):
         def rows():
@@ -137,8 +144,9 @@ def write_responses(pages: DataFrame, date: str = DATE, payload: str = "html") -
                     body = (html or "").encode()
                     sha, rid = digest(body), f"<urn:uuid:{uuid.uuid4()}>"
                     uri = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
+                    page = page and page.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
                     raw = record([("WARC-Type", "response"), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", uri), ("X-Page-Id", page), ("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http;msgtype=response")], http_block(body))
-                    yield (*writer.add(raw), rid, "response", page, len(body), sha, None)
+                    yield (*writer.add(raw), rid, "response", page, len(body), sha, None, uri, date)
             writer.close()
 
         yield from _in_batches(rows())
@@ -156,7 +164,7 @@ def index_row(archive: str, at: int, size: int, raw: bytes) -> tuple:
     else:
         http = dict(x.split(": ", 1) for x in block.decode().split("\r\n")[1:] if x)
         size_, sha = int(http["Content-Length"]), fields["warc-payload-digest"].removeprefix("sha1:")
-    return archive, at, size, fields["warc-record-id"], fields["warc-type"], page and int(page), size_, sha, refers and int(refers)
+    return archive, at, size, fields["warc-record-id"], fields["warc-type"], page, size_, sha, refers, fields.get("warc-target-uri"), fields["warc-date"]
 
 
 def read_index(archives: DataFrame) -> DataFrame:
@@ -169,10 +177,15 @@ def read_index(archives: DataFrame) -> DataFrame:
     return names.repartition(max(1, min(names.count(), 10_000)), "archive").mapInArrow(run, INDEX)
 
 
-def resolve(index: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Index rows with original (record_id, page_id): null for what stays a response."""
-    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "archive", "position", "record_id")
-    groups = index.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", F.struct("first.record_id", "first.page_id").alias("original"))
+def told(page: Column, kind: str) -> Column:
+    """A page_id as its own type from its form in headers."""
+    return F.replace(F.replace(F.replace(page, F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%")).cast(kind)
+
+
+def resolve(index: DataFrame, min_bytes: int = 0, kind: str = "bigint") -> DataFrame:
+    """Index rows with original (record_id, page_id, uri, date): null for what stays a response. kind: the type of page_id, by which it is ordered."""
+    order = F.struct(F.col("page_id").isNull().alias("last"), told(F.col("page_id"), kind).alias("page"), "archive", "position", "record_id", "page_id", "uri", "date")
+    groups = index.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", F.struct("first.record_id", "first.page_id", "first.uri", "first.date").alias("original"))
     found = index.join(groups, "payload_digest", "left")
     keeps = (F.col("payload_bytes") < min_bytes) | (F.col("original.record_id") == F.col("record_id"))
     return found.withColumn("original", F.when(~F.coalesce(keeps, F.lit(True)), F.col("original")))
@@ -183,10 +196,11 @@ def renewed(record_id: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, record_id)}>"
 
 
-def rewrite(resolved: DataFrame, date: str = DATE) -> DataFrame:
-    """Write archives in which revisits stand for repeated payloads; returns the new archives' index."""
+def rewrite(resolved: DataFrame, date: str | None = None) -> DataFrame:
+    """Write archives in which revisits stand for repeated payloads; returns the new archives' index. Records keep their dates, and name `date` (the present time by default) as that of their rewriting."""
+    date = date or now()
     folder = new_path(resolved.sparkSession, "warc")
-    changes = resolved.groupBy("archive").agg(F.collect_list(F.when(F.col("original").isNotNull(), F.struct("position", "original.record_id", "original.page_id"))).alias("revisits"))
+    changes = resolved.groupBy("archive").agg(F.collect_list(F.when(F.col("original").isNotNull(), F.struct("position", "original.record_id", "original.page_id", "original.uri", "original.date"))).alias("revisits"))
     tasks = changes.repartition(max(1, min(changes.count(), 10_000)), "archive")
 
     def run(batches):
@@ -197,11 +211,11 @@ def rewrite(resolved: DataFrame, date: str = DATE) -> DataFrame:
                     of = {r["position"]: r for r in revisits}
                     for at, _, raw in members(archive):
                         fields, block = parse(raw)
-                        common = [("WARC-Record-ID", renewed(fields["warc-record-id"])), ("WARC-Date", date), ("WARC-Target-URI", fields.get("warc-target-uri")), ("X-Page-Id", fields.get("x-page-id")), ("WARC-Payload-Digest", fields["warc-payload-digest"])]
+                        common = [("WARC-Record-ID", renewed(fields["warc-record-id"])), ("WARC-Date", fields["warc-date"]), ("X-Rewritten-Date", date), ("WARC-Target-URI", fields.get("warc-target-uri")), ("X-Page-Id", fields.get("x-page-id")), ("WARC-Payload-Digest", fields["warc-payload-digest"])]
                         if at in of:
                             first = of[at]
                             block = block[: block.index(b"\r\n\r\n") + 4]
-                            new = record([("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", renewed(first["record_id"])), ("X-Refers-To-Page-Id", first["page_id"]), ("Content-Type", "application/http;msgtype=response")], block)
+                            new = record([("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", renewed(first["record_id"])), ("WARC-Refers-To-Target-URI", first["uri"]), ("WARC-Refers-To-Date", first["date"]), ("X-Refers-To-Page-Id", first["page_id"]), ("Content-Type", "application/http;msgtype=response")], block)
                         else:
                             new = record([("WARC-Type", "response"), *common, ("Content-Type", "application/http;msgtype=response")], block)
                         yield index_row(*writer.add(new), new)
@@ -214,5 +228,6 @@ def rewrite(resolved: DataFrame, date: str = DATE) -> DataFrame:
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write pages to archives, deduplicate these, read the new archives back: their index."""
-    raw = write_responses(pages)
-    return read_index(rewrite(resolve(raw, min_bytes)))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    index = read_index(rewrite(resolve(write_responses(pages), min_bytes, kind)))
+    return index.withColumns({c: told(F.col(c), kind) for c in ("page_id", "refers_to")})
