@@ -4,21 +4,23 @@ A word (lower-cased run of letters, digits and characters beyond ASCII) has the
 of three hashed embeddings: of itself and of its first four and five bytes, so that
 inflected forms share what they are learnt from. Filters of widths 1 to 3 run over the
 words of the whole text, each keeps its maximum, and a logistic layer reads the
-maxima. The model is trained in numpy on the driver, on at most 2 x MAX_DOCS labelled
-documents (the bound of the sample: MAX_DOCS of each class, in the order of a hash of
-doc_id), with a fifth of them set aside for Platt scaling at the true class shares.
+maxima. The model is trained in numpy on the driver, on labelled documents in the order of a hash of doc_id: of each class
+at most MAX_DOCS, and together of at most MAX_BYTES (the bounds of the sample; a text that does not fit is passed over). One labelled document in ASIDE, by
+another hash, is never fitted: a like sample of these gives Platt scaling at the true class shares.
 Neither language, source, id nor label is an input of a score. Afterwards a threshold
-per language is calibrated on the scores of all labelled documents that are not held
-out: the one of the best F1 where the language has labels of both classes, else of all.
+per language is calibrated on the scores of all the documents set aside: the one of the best F1 (of ties the
+highest) where the language has labels of both classes, else DEFAULT_THRESHOLD.
 
 Nulls: a null text is empty and scored by the bias alone; a null language has thresholds of
 its own; rows with a null doc_id are scored but never learnt from; a repeated label
-counts once, as toxic if any says so. Without labels of both classes every score is 0.
+counts once, as toxic if any says so; of texts of one id the least is learnt from. Without labels of both classes every score is 0. Texts are
+scored whole, whatever their length. Only doc_id, text and lang are read, so other columns may have any names. No documents: no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from seams.llm.store import materialize
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5)
 MAX_DOCS = 3000
+MAX_BYTES = 64 << 20
+ASIDE = 5
 DEFAULT_THRESHOLD = 0.7
 _PAD = max(WIDTHS) - 1
 
@@ -99,20 +103,21 @@ def _join(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
 
 
-def fit(texts: list[str], y: np.ndarray, share: float, epochs: int = 8, batch: int = 32, rate: float = 0.1, seed: int = 7) -> Model | None:
-    """A model for the texts; share: of class 1 among all labelled documents. None without both classes."""
-    if not 0 < y.sum() < len(y):
+def fit(texts: list[str], y: np.ndarray, apart: np.ndarray, share: float, epochs: int = 8, batch: int = 32, rate: float = 0.1, seed: int = 7) -> Model | None:
+    """A model for the texts, fitted to those that are not apart and scaled by those that are; share: of class 1 among all labelled documents. None without both classes."""
+    train, aside = np.flatnonzero(~apart), np.flatnonzero(apart)
+    if not 0 < y[train].sum() < len(train):
         return None
+    if not 0 < y[aside].sum() < len(aside):
+        aside = train
     rng = np.random.default_rng(seed)
     parts = []
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
         parts.append(features(raw, np.array([0, len(raw)]))[0])
-    order = rng.permutation(len(parts))
-    aside = order[: len(order) // 5] if len(order) >= 50 else order
-    train = order[len(order) // 5 :] if len(order) >= 50 else order
     m = Model(seed)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    part = y[train].mean()
+    weight = np.where(y == 1, 0.5 / part, 0.5 / (1 - part))
     past = {"E": np.full(m.E.shape, 1e-8, np.float32), "K": [np.full(k.shape, 1e-8, np.float32) for k in m.K], "b": np.full(m.b.shape, 1e-8), "v": np.full(m.v.shape, 1e-8), "c": 1e-8}
 
     def step(value, grad, g2, r):
@@ -173,17 +178,32 @@ def platt(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, **how) -> Model | None:
-    """A model learnt from rows that are not held out."""
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, y, apart) of the labelled documents that may be learnt from."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
+    return known.withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(ASIDE)) == 0)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, **how) -> Model | None:
+    """A model learnt from rows that are not held out."""
+    known = _known(labels)
     totals = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("n1")).first()
     if not 0 < totals.n1 < totals.n:
         return None
     order = F.xxhash64("doc_id")
-    sample = known.where("y = 1").orderBy(order, "doc_id").limit(max_docs).unionAll(known.where("y = 0").orderBy(order, "doc_id").limit(max_docs))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()  # at most 2 x max_docs
+    kinds = [known.where((F.col("y") == y) & (F.col("apart") == apart)).orderBy(order, "doc_id").limit(max_docs // (ASIDE if apart else 1)) for y in (1, 0) for apart in (False, True)]
+    sample = reduce(DataFrame.unionAll, kinds)
+    own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("apart").alias("apart"))  # at most 2.4 x max_docs
+    own = materialize(own.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))).withColumn("place", order), "toxicity-sample")
+    room, chosen = {1: max_bytes // 2, 0: max_bytes // 2}, []
+    for r in sorted(own.select("doc_id", "y", "size", "place").collect(), key=lambda r: (r.place, r.doc_id)):
+        if r.size <= room[r.y]:
+            room[r.y] -= r.size
+            chosen.append((r.doc_id,))
+    fits = docs.sparkSession.createDataFrame(chosen, docs.select("doc_id").schema)
+    rows = own.join(F.broadcast(fits), "doc_id", "left_semi").collect()  # at most max_bytes
     rows.sort(key=lambda r: r.doc_id)
-    return fit([r.text or "" for r in rows], np.array([r.y for r in rows]), totals.n1 / totals.n, **how)
+    return fit([r.text or "" for r in rows], np.array([r.y for r in rows]), np.array([r.apart for r in rows], bool), totals.n1 / totals.n, **how)
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
@@ -207,8 +227,8 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
 
 
 def thresholds(scores: DataFrame, labels: DataFrame, bins: int = 100) -> DataFrame:
-    """lang, threshold: of the best F1 on labelled rows that are not held out."""
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
+    """lang, threshold: of the best F1 on labelled rows that are neither held out nor fitted."""
+    known = _known(labels).where("apart")
     cell = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
     table = scores.join(known, "doc_id").groupBy(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), cell.alias("bin")).agg(F.sum("y").alias("n1"), F.count("*").alias("n"))
 

@@ -215,6 +215,18 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_warc_of_other_ids_and_revisit_headers(spark):
+    rows = [("b%0A", "http://b", "same", 1), ("a\n%", "http://a", "same", 2), ("c", None, "x", 3), (None, "http://n", "same", 4)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, record_type int")
+    got = {r.page_id: r for r in warc.archive_pages(pages).collect()}
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {"a\n%": ("response", None), "b%0A": ("revisit", "a\n%"), "c": ("response", None), None: ("revisit", "a\n%")}
+    raw = {r["position"]: x for r in [got["b%0A"]] for at, _, x in warc.members(r.archive) if at == r.position}
+    fields, block = warc.parse(raw[got["b%0A"].position])
+    assert fields["warc-refers-to-target-uri"] == "http://a" and fields["warc-target-uri"] == "http://b"
+    assert fields["warc-refers-to-date"] == fields["warc-date"] and fields["warc-date"].endswith("Z") and fields["x-rewritten-date"] >= fields["warc-date"]
+    assert fields["warc-refers-to"] == got["a\n%"].record_id and block.endswith(b"\r\n\r\n")
+
+
 def test_archives_are_gzip_members(spark, tmp_path):
     import gzip
 
@@ -450,6 +462,28 @@ def test_pieces_and_packing(spark, docs, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_packing_ignores_other_columns(spark):
+    rows = [(1, "x " * 5000, 1, 2), (1, "x " * 5000, 1, 2), (2, "tie", 3, 4), (3, "tie", 3, 4), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, length int, sequence_id int")
+    got = packing.pack(frame, tokenizer_path()).collect()
+    assert Counter(r.doc_id for r in got if r.start == 0) == Counter(r[0] for r in rows)
+    assert all(r.length == (r.doc_tokens if r.doc_tokens <= 1024 else r.length) for r in got)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert len({p[:2] for p in places}) == len(places)
+
+
+def test_other_tokenizer_files_take_the_library(tmp_path):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.plain_bytes(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        assert not packing.plain_bytes(spec | change)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
+    plain = packing.encoder(tokenizer_path())
+    assert packing.encoder(str(path))("Some TEXT") == plain("some text") != plain("Some TEXT")
+
+
 def test_plan_leaves_little_slack():
     rng = random.Random(8)
     counts = Counter(rng.randrange(1, 1024) for _ in range(5000))
@@ -562,6 +596,41 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.classify(frame.limit(20), labels.limit(0)).collect()} == {0.0}
 
 
+def test_convolutions_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    m = toxicity.Model()
+    m.E[:-1] = rng.normal(0, 1, m.E[:-1].shape)
+    m.b[:] = rng.normal(0, 1, m.b.shape)
+    texts_ = ["", "One two", "a b c d e f idiot", "é " * 50]
+    raw = "".join(texts_).encode()
+    off = np.cumsum([0, *(len(t.encode()) for t in texts_)])
+    ids, first, n = toxicity.features(np.frombuffer(raw, np.uint8), off)
+    got = m.logits(ids, first)
+    for i, t in enumerate(texts_):
+        x = [m.E[ids[first[i] + j]].sum(0) for j in range(n[i])] + [np.zeros(toxicity.DIM)] * 2
+        out = []
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                z = [sum(x[j + d] @ m.K[k][d][:, f] for d in range(w)) + m.b[k * toxicity.FILTERS + f] for j in range(n[i])]
+                out.append(max([0.0, *z]))
+        assert len(t.split()) == n[i] and got[i] == pytest.approx(np.dot(out, m.v) + m.c, rel=1e-4, abs=1e-4)
+
+
+def test_toxicity_with_clashing_columns_and_bounds(spark):
+    rng = random.Random(17)
+    rows, marks_ = [], []
+    for i in range(400):
+        rows.append((i, words(rng, 30) + (" scumbag" if i % 4 == 0 else ""), "en", 1.0, "x"))
+        marks_.append((i, int(i % 4 == 0)))
+    rows += [rows[0], (900, words(rng, 20000) + " scumbag", "en", 0.0, "y"), (901, "tie", "en", 0.0, "y"), (902, "tie", None, 0.0, "y")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score double, threshold string")
+    labels = spark.createDataFrame([*marks_, (900, 1)], "doc_id bigint, toxic int")
+    got = toxicity.classify(frame, labels, max_bytes=60_000).collect()  # the long text does not fit
+    score = {r.doc_id: r.score for r in got}
+    assert len(got) == len(rows) and score[901] == score[902]
+    assert np.mean([score[i] for i, y in marks_ if y]) > 0.6 > 0.3 > np.mean([score[i] for i, y in marks_ if not y])
+
+
 # pipeline
 
 
