@@ -12,11 +12,12 @@ with the notices decides between believed families: one is confirmed if at least
 paragraph's n-grams of two words are in its notices or titles, or a whole sentence of a notice is in the
 paragraph; confirmed ones go first, then the likelier.
 
-A notice names its licence in two words or more, or in a title: a paragraph with fewer distinct words of
-the notices (stop words aside), none of them a whole title, is unknown, which its words tell before any n-gram is formed.
+A paragraph without any word of the notices (stop words aside) has no feature at all; it is unknown by the model's bias, and
+is left out before any n-gram is formed.
 
-Nulls: a null text has no paragraphs. Repeated rows and lines are classified alike. The notices are
-the standard short forms of public licences.
+Nulls: a null text has no paragraphs; null ids are scanned like others. Repeated rows and lines are classified alike. Of families of equal
+probability (ties) the last by name is taken. Texts are scanned whole, whatever their length. Only doc_id and text are read, so
+other columns may have any names. No documents: no rows. The notices are the standard short forms of public licences.
 """
 
 from __future__ import annotations
@@ -65,6 +66,25 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced without prior written permission."),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("apache", "See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."),
+    ("agpl", "You should have received a copy of the GNU Affero General Public License along with this program."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE."),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("zlib", "In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
 )
 # Families and titles of their licences.
 TITLES: tuple[tuple[str, str], ...] = (
@@ -92,6 +112,8 @@ TITLES: tuple[tuple[str, str], ...] = (
     ("cc0", "CC0 1.0 Universal"),
     ("isc", "ISC License"),
     ("unlicense", "The Unlicense"),
+    ("zlib", "zlib License"),
+    ("boost", "Boost Software License, Version 1.0"),
 )
 # Sentences that are no notices.
 PLAIN: tuple[str, ...] = (
@@ -140,7 +162,6 @@ STOP = ("a", "all", "along", "an", "and", "any", "are", "as", "at", "be", "been"
 
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CONFIRM = 0.5
-LEAST_CUES = 2
 UNKNOWN = "unknown"
 PIECE = 8
 
@@ -225,14 +246,12 @@ def train(spark: SparkSession, steps: int = 60) -> tuple[DataFrame, list[str], l
 
 
 def _may(words: str) -> Column:
-    """Whether words hold LEAST_CUES distinct words of the notices and titles which are no stop words, or a whole title of one."""
-    told = [set(_cut(t)) - set(STOP) for _, t in [*NOTICES, *TITLES]]
-    titles = [w for w in told if len(w) < LEAST_CUES]
-    return (F.size(F.array_intersect(words, _strings(set().union(*told)))) >= LEAST_CUES) | F.arrays_overlap(words, _strings(set().union(*titles)))
+    """Whether words hold one of the notices and titles which is no stop word, so that there is a feature."""
+    return F.arrays_overlap(words, _strings({w for _, t in [*NOTICES, *TITLES] for w in _cut(t)} - set(STOP)))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(text_key, line, paragraph, w) of the lines that may be notices by their words."""
+    """(text_key, line, paragraph, w) of the lines with a feature."""
     lines = docs.select(F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
     return lines.withColumn("w", tokens(F.col("paragraph"))).where(_may("w"))
 

@@ -362,6 +362,49 @@ def test_licences_of_titles_and_pieces(spark):
     assert [(t, got[i].families) for i, (t, _) in enumerate(want)] == want
 
 
+# Not among the training notices.
+UNSEEN = [
+    ("Copyright 2019 The Authors. Licensed under the Apache License, Version 2.0", "apache"), ("Distributed under the Apache License 2.0.", "apache"), ("This file is under the MIT license, see LICENSE.", "mit"),
+    ("Distributed under the MIT License.", "mit"), ("It is licensed under the GNU General Public License, version 2.", "gpl"), ("published under the GNU Affero General Public License", "agpl"),
+    ("under the GNU Lesser General Public License, version 3", "lgpl"), ("Licensed under the BSD 2-Clause License.", "bsd"), ("covered by the Mozilla Public License, v. 2.0", "mpl"),
+    ("This article is licensed under CC BY-SA 4.0.", "cc-by-sa"), ("Text: CC BY-NC 4.0", "cc-by-nc"), ("Photos under CC BY 4.0.", "cc-by"), ("Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("released into the public domain under the Unlicense", "unlicense"), ("Dedicated to the public domain under CC0 1.0 Universal", "cc0"), ("All rights reserved by the publisher.", "proprietary"),
+    ("(c) 2021 ACME Ltd. All Rights Reserved.", "proprietary"), ("See the Boost Software License, Version 1.0.", "boost"), ("under the zlib license", "zlib"), ("Permission to use, copy, modify and distribute this software for any purpose is hereby granted.", "isc"),
+]
+
+
+def test_licence_recall_on_unseen_notices_in_prose(spark):
+    rng = random.Random(18)
+    plain = [" ".join(rng.choice(t.split()) for _ in range(12)) for t in licences.PLAIN for _ in range(3)]  # the words of plain sentences, mixed
+    rows = [(i, words(rng, 30) + "\n" + t + "\n" + words(rng, 200)) for i, (t, _) in enumerate(UNSEEN)] + [(1000 + i, t) for i, t in enumerate(plain)]
+    rows.append((2000, words(rng, 30000) + "\nReleased under the MIT License."))
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, n_lines int, families string")
+    got = by_id(licences.scan(frame))
+    assert got[2000].families == "mit"
+    assert np.mean([got[i].families == f for i, (_, f) in enumerate(UNSEEN)]) >= 0.9
+    assert np.mean([got[i].families == "" for i in range(1000, 1000 + len(plain))]) >= 0.95
+
+
+def test_licence_probabilities_equal_a_plain_scorer(spark):
+    weights, classes, bias, least = licences.train(spark)
+    table = {r.feature: np.array(r.weights) for r in weights.collect()}
+    lines = [t for t, _ in UNSEEN] + list(licences.PLAIN) + ["one two", "License"]
+    told = spark.createDataFrame([(i, licences._cut(t)) for i, t in enumerate(lines)], "paragraph_key bigint, w array<string>")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(licences, "train", lambda _: (weights, classes, bias, least))
+        got = {r.paragraph_key: r for r in licences.classify(told).collect()}
+    for i, t in enumerate(lines):
+        w = licences._cut(t)
+        grams = {" ".join(w[j : j + k]) for k in (1, 2, 3) for j in range(len(w) - k + 1)}
+        z = np.array(bias) + sum((table[g] for g in grams if g in table), np.zeros(len(bias)))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = {c: x for c, x in zip(classes, p) if c != licences.UNKNOWN and x > least}
+        assert (i in got) == (bool(best) and any(g in table for g in grams))
+        if i in got:
+            assert got[i].family in best and got[i].probability == pytest.approx(best[got[i].family], rel=1e-6)
+            assert got[i].confirmed or got[i].family == max(best, key=best.get)
+
+
 # 7
 
 
