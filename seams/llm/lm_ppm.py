@@ -12,7 +12,8 @@ before in it. Pretrained (`score_documents`): the trie is gathered from all trai
 documents, as counts of (ORDER + 1)-grams; contexts nest, so counts of all orders follow
 from them, and with exclusion the probability of a gram needs only, per context, its total, its
 number of symbols, and the total of these symbols one order down. Grams are valued in
-groups that share their last two context bytes; orders 1 and 0 (at most 257 x 257 numbers)
+buckets of those that share their last three context bytes, as many buckets as their number asks for; the counts of order 2 are
+joined to the buckets whose grams end in them, and orders 1 and 0 (at most 257 x 257 numbers)
 are told to all tasks. Base scores come from word counts gathered likewise.
 
 Neither table is broadcast, as both grow with the corpus. Documents are dealt into chunks
@@ -44,7 +45,8 @@ SYMBOLS = 257
 BITS = 9
 CHUNK_BYTES = 24 << 20
 BLOCK = 1 << 22
-BUCKETS = 64
+#: Buckets in which grams are valued, at least, and the grams that one has on average, at most.
+BUCKETS, BUCKET_GRAMS = 64, 1 << 18
 WORD, GRAM, DOCS, BYTES = 0, 1, 2, 3
 _HELD = 1 << 22
 
@@ -173,14 +175,19 @@ def gather(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return docs.select("held_out", "text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def gram_values(key: np.ndarray, n: np.ndarray, low: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """log10 probability of each gram. All grams that share the last two context symbols are there; low[c, s]: training counts of s after c."""
+def gram_values(key: np.ndarray, n: np.ndarray, low: np.ndarray, order: int = ORDER, two: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 probability of each gram. low[c, s]: training counts of s after c; two: keys and counts of order 2.
+
+    All grams that share the last three context symbols are there, and two has all that share the last two; without two, grams do.
+    """
     zero = low.sum(0)
     # what a level gives each gram: count, and of its context total, distinct symbols, total of these one order down
     levels = []
     for k in range(order, -1, -1):
         sub = key & ((1 << (BITS * (k + 1))) - 1)
-        if k >= 2:
+        if k == 2 and two is not None:
+            levels.append((two[0], pd.Index(two[0]).get_indexer(sub), two[1]))
+        elif k >= 2:
             code, unique = pd.factorize(sub)
             count = np.bincount(code, n, len(unique)).astype(np.int64)
             levels.append((unique, code, count))
@@ -225,21 +232,26 @@ def gram_values(key: np.ndarray, n: np.ndarray, low: np.ndarray, order: int = OR
     return value
 
 
-def _valued(counts: DataFrame, order: int) -> DataFrame:
-    """(key, value) of all grams."""
+def _valued(counts: DataFrame, order: int, size: int) -> DataFrame:
+    """(key, value) of all grams, of which there are `size`."""
     grams = counts.where(F.col("kind") == GRAM)
-    pair = (1 << 2 * BITS) - 1
+    one, pair, triple = ((1 << k * BITS) - 1 for k in (1, 2, 3))
     low = np.zeros((SYMBOLS, SYMBOLS), np.int64)
     for r in grams.groupBy(F.col("key").bitwiseAND(F.lit(pair)).alias("pair")).agg(F.sum("n").alias("n")).collect():  # at most 257 x 257 rows
-        low[r.pair >> BITS, r.pair & 511] = r.n
+        low[r.pair >> BITS, r.pair & one] = r.n
     shared = counts.sparkSession.sparkContext.broadcast(low)
-    suffix = F.shiftright("key", BITS).bitwiseAND(F.lit(pair))
+    after = F.shiftright("key", BITS)
+    end = after.bitwiseAND(F.lit(pair))
+    own = grams.select("key", "n", F.pmod(F.hash(after.bitwiseAND(F.lit(triple)) if order > 2 else end), F.lit(max(BUCKETS, size // BUCKET_GRAMS))).alias("bucket"), end.alias("pair"))
+    two = grams.groupBy(F.col("key").bitwiseAND(F.lit(triple)).alias("two")).agg(F.sum("n").alias("n")).withColumn("pair", F.shiftright("two", BITS))
+    two = own.select(F.col("bucket").alias("of"), "pair").distinct().join(two, "pair").select("of", "two", "n")
 
-    def run(table):
+    def run(table, ends):
         key, n = (table.column(c).to_numpy() for c in ("key", "n"))
-        return pa.table({"key": pa.array(key), "value": pa.array(gram_values(key, n, shared.value, order))})
+        held = tuple(ends.column(c).to_numpy() for c in ("two", "n"))
+        return pa.table({"key": pa.array(key), "value": pa.array(gram_values(key, n, shared.value, order, held))})
 
-    return grams.select("key", "n", F.pmod(F.hash(suffix), F.lit(BUCKETS)).alias("bucket")).groupBy("bucket").applyInArrow(run, "key bigint, value double")
+    return own.select("bucket", "key", "n").groupBy("bucket").cogroup(two.groupBy("of")).applyInArrow(run, "key bigint, value double")
 
 
 def _requests(chunks: DataFrame, order: int) -> DataFrame:
@@ -269,7 +281,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUN
         raise ValueError("order must be from 2 to 6: keys have 63 bits")
     docs = docs.select("doc_id", (held_out() if held is None else held).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     counts = materialize(gather(docs, order), "lm-counts")
-    sums = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("distinct")).collect()}
+    sums = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("distinct"), F.count("*").alias("rows")).collect()}
     trained = sums[DOCS].n if DOCS in sums else 0
     words = sums[WORD] if WORD in sums else None
     N = (words.n if words else 0) + trained
@@ -277,7 +289,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUN
     under = N + 0.1 * (V + 1)
     unknown, end = math.log10(0.1 / under), math.log10((trained + 0.1) / under)
     values = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("kind", "key", F.log10((F.col("n") + 0.1) / F.lit(under)).alias("value"))
-    values = values.unionByName(_valued(counts, order).select(F.lit(GRAM).alias("kind"), "key", "value"))
+    values = values.unionByName(_valued(counts, order, sums[GRAM].rows if GRAM in sums else 0).select(F.lit(GRAM).alias("kind"), "key", "value"))
     size = sums[BYTES].n if BYTES in sums else 0
     n_chunks = max(1, -(-size // chunk_bytes), min(12, size >> 21))
     chunks = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("long").alias("chunk"), "doc_id", "held_out", "text")

@@ -243,10 +243,12 @@ def test_archives_are_gzip_members(spark, tmp_path):
 # 4
 
 
-def test_scores_equal_a_plain_trie(spark, docs, empty):
+@pytest.mark.parametrize(("order", "grams"), [(4, 1 << 18), (4, 50), (2, 50), (3, 50)])
+def test_scores_equal_a_plain_trie(spark, docs, empty, monkeypatch, order, grams):
+    monkeypatch.setattr(lm_ppm, "BUCKET_GRAMS", grams)  # few: many buckets
     rows = [(r.doc_id, r.text or "") for r in docs.collect() if len(r.text or "") < 3000]
     own = spark.createDataFrame([*rows, (None, "null id"), (77, "ß\u0001€ long tail")], "doc_id bigint, text string")
-    trie, count, learnt = lm_ppm.Trie(), Counter(), 0
+    trie, count, learnt = lm_ppm.Trie(order), Counter(), 0
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in own.collect()}
     for i, t in own.collect():
         if not held[i]:
@@ -254,7 +256,7 @@ def test_scores_equal_a_plain_trie(spark, docs, empty):
             count.update(t.translate(LOWER).encode().split())
             learnt += 1
     total, distinct = sum(count.values()) + learnt, len(count) + 1
-    got = lm_ppm.score_documents(own, chunk_bytes=4000).collect()
+    got = lm_ppm.score_documents(own, order, chunk_bytes=4000).collect()
     assert len(got) == own.count()
     text = dict(own.collect())
     for r in got:
