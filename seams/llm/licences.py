@@ -12,8 +12,9 @@ with the notices decides between believed families: one is confirmed if at least
 paragraph's n-grams of two words are in its notices or titles, or a whole sentence of a notice is in the
 paragraph; confirmed ones go first, then the likelier.
 
-A paragraph without any word of the notices (stop words aside) has no feature at all; it is unknown by the model's bias, and
-is left out before any n-gram is formed.
+Paragraphs that the model cannot believe are left out before any n-gram is formed, by bounds from its weights: those without any word
+of the notices (stop words aside), and those with a single one, if all the n-grams that it forms with stop words
+together give no family more than the threshold. So that loses nothing.
 
 Nulls: a null text has no paragraphs; null ids are scanned like others. Repeated rows and lines are classified alike. Of families of equal
 probability (ties) the last by name is taken. Texts are scanned whole, whatever their length. Only doc_id and text are read, so
@@ -22,6 +23,7 @@ other columns may have any names. No documents: no rows. The notices are the sta
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -163,6 +165,8 @@ STOP = ("a", "all", "along", "an", "and", "any", "are", "as", "at", "be", "been"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CONFIRM = 0.5
 UNKNOWN = "unknown"
+#: Weights (feature, weight of each class), classes, intercepts and the calibrated probability.
+Model = tuple[DataFrame, list[str], list[float], float]
 PIECE = 8
 
 
@@ -226,7 +230,7 @@ def _training(spark: SparkSession) -> DataFrame:
     return cells.select(F.col("c")[0].alias("family"), F.split(F.col("c")[2], " ").alias("w"), (F.col("c")[1] == "True").alias("aside"))
 
 
-def train(spark: SparkSession, steps: int = 60) -> tuple[DataFrame, list[str], list[float], float]:
+def train(spark: SparkSession, steps: int = 60) -> Model:
     """(feature, weights per class), classes, intercepts, and the calibrated probability."""
     data = _training(spark).withColumn("f", features("w"))
     data = data.coalesce(1).cache()
@@ -245,15 +249,42 @@ def train(spark: SparkSession, steps: int = 60) -> tuple[DataFrame, list[str], l
     return materialize(spark.range(1).select(F.inline(F.array(*rows))), "licence-weights"), classes, [float(b) for b in bias], float(worst)
 
 
-def _may(words: str) -> Column:
-    """Whether words hold one of the notices and titles which is no stop word, so that there is a feature."""
-    return F.arrays_overlap(words, _strings({w for _, t in [*NOTICES, *TITLES] for w in _cut(t)} - set(STOP)))
+def _cues() -> set[str]:
+    """The words of notices and titles that are no stop words."""
+    return {w for _, t in [*NOTICES, *TITLES] for w in _cut(t)} - set(STOP)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(text_key, line, paragraph, w) of the lines with a feature."""
+def _may(words: str, telling: set[str] | None = None) -> Column:
+    """Whether words hold a cue, or, given the telling ones, two cues or a telling one."""
+    cues = _strings(_cues())
+    if telling is None:
+        return F.arrays_overlap(words, cues)
+    two = F.size(F.array_intersect(words, cues)) >= 2
+    return two | F.arrays_overlap(words, _strings(telling)) if telling else two
+
+
+def telling(model: Model) -> set[str]:
+    """The cues that can make a family believed though the paragraph has no other one.
+
+    Of a family and unknown alone the family's probability is the logistic function of the difference of their sums, more classes only
+    lessen it, and the sum is at most that of all n-grams of the cue and stop words that speak for the family.
+    """
+    weights, classes, bias, least = model
+    unknown = classes.index(UNKNOWN)
+    most: dict[str, list[float]] = {}
+    for r in weights.collect():  # the n-grams of the notices above
+        own = set(r.feature.split(" ")) - set(STOP)
+        if len(own) == 1:
+            sums = most.setdefault(own.pop(), [b - bias[unknown] for b in bias])
+            for i, w in enumerate(r.weights):
+                sums[i] += max(0.0, w - r.weights[unknown])
+    return {c for c, sums in most.items() if any(1 / (1 + math.exp(-x)) > least for i, x in enumerate(sums) if i != unknown)}
+
+
+def paragraphs(docs: DataFrame, telling: set[str] | None = None) -> DataFrame:
+    """(text_key, line, paragraph, w) of the lines that may be believed."""
     lines = docs.select(F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    return lines.withColumn("w", tokens(F.col("paragraph"))).where(_may("w"))
+    return lines.withColumn("w", tokens(F.col("paragraph"))).where(_may("w", telling))
 
 
 def _confirmed(family: str) -> Column:
@@ -264,9 +295,9 @@ def _confirmed(family: str) -> Column:
     return reduce(lambda x, y: x | y, whole, near)
 
 
-def classify(told: DataFrame) -> DataFrame:
+def classify(told: DataFrame, model: Model | None = None) -> DataFrame:
     """(paragraph_key, family, probability, confirmed) of the distinct paragraphs that are believed to be notices. told: paragraph_key, w."""
-    weights, classes, bias, least = train(told.sparkSession)
+    weights, classes, bias, least = model or train(told.sparkSession)
     n = range(len(classes))
     distinct = told.groupBy("paragraph_key").agg(F.first("w").alias("w"))
     distinct = materialize(distinct, "licence-paragraphs")
@@ -283,8 +314,9 @@ def classify(told: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (believed to be notices), n_confirmed, families (of confirmed lines, comma-joined), lines (line:family of all, from 1), probability (the greatest) of each document."""
-    told = materialize(paragraphs(docs).select("text_key", "line", F.xxhash64("paragraph").alias("paragraph_key"), "w"), "licence-lines")
-    found = told.select("text_key", "line", "paragraph_key").distinct().join(classify(told), "paragraph_key")
+    model = train(docs.sparkSession)
+    told = materialize(paragraphs(docs, telling(model)).select("text_key", "line", F.xxhash64("paragraph").alias("paragraph_key"), "w"), "licence-lines")
+    found = told.select("text_key", "line", "paragraph_key").distinct().join(classify(told, model), "paragraph_key")
     each = F.array_sort(F.collect_list(F.struct("line", "family")))
     texts = found.groupBy("text_key").agg(F.count("*").alias("n_lines"), F.count_if("confirmed").alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.array_join(F.transform(each, lambda x: F.concat_ws(":", (x["line"] + 1).cast("string"), x["family"])), ",").alias("lines"), F.max("probability").alias("probability"))
     zero = F.lit(0).cast("long")

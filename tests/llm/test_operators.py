@@ -392,9 +392,15 @@ def test_licence_probabilities_equal_a_plain_scorer(spark):
     table = {r.feature: np.array(r.weights) for r in weights.collect()}
     lines = [t for t, _ in UNSEEN] + list(licences.PLAIN) + ["one two", "License"]
     told = spark.createDataFrame([(i, licences._cut(t)) for i, t in enumerate(lines)], "paragraph_key bigint, w array<string>")
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(licences, "train", lambda _: (weights, classes, bias, least))
-        got = {r.paragraph_key: r for r in licences.classify(told).collect()}
+    model = weights, classes, bias, least
+    got = {r.paragraph_key: r for r in licences.classify(told, model).collect()}
+    strong = licences.telling(model)
+    own = sorted(licences._cues())
+    lines_ = [f"{x} {c} {y}" for c in own for x, y in (("this", "of"), ("the", "is"), ("all", "and"))]
+    single = spark.createDataFrame([(i, t.split()) for i, t in enumerate(lines_)], "paragraph_key bigint, w array<string>")
+    assert {r.paragraph_key for r in licences.classify(single, model).collect()} <= {i for i, t in enumerate(lines_) if t.split()[1] in strong}
+    assert len(strong) < len(own)
+    print("telling", len(strong), "of", len(own), sorted(strong)[:40], least)
     for i, t in enumerate(lines):
         w = licences._cut(t)
         grams = {" ".join(w[j : j + k]) for k in (1, 2, 3) for j in range(len(w) - k + 1)}
