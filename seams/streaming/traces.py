@@ -28,10 +28,15 @@ def stream_windows(events: DataFrame, seconds: int = 5, late: str = "10 seconds"
     """(file, before, after, n): additions to `window_pairs` from each batch; for the append or update mode.
 
     events: file, seq, ts (seconds), component. Each file's state holds the events of the last `seconds`,
-    so it is bounded by their rate. Events must come in order within `late`; older ones are dropped.
+    so it is bounded by their rate, and goes when the watermark is `seconds` past them. Events that are older than
+    the watermark (`late` behind the newest of the batches before) are dropped. Events of one batch may come in any order; one that comes in a later batch than
+    an event that follows it is counted with those before it, not with that one.
     """
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(zip(*state.get)) if state.exists else []
         rows = pd.concat(list(frames))
         counts: dict[tuple[str, str], int] = {}
@@ -40,8 +45,9 @@ def stream_windows(events: DataFrame, seconds: int = 5, late: str = "10 seconds"
             for before in {h[2] for h in held if (h[0], h[1]) < (ts, seq)} - {component}:
                 counts[before, component] = counts.get((before, component), 0) + 1
             held.append((ts, seq, component))
-        state.update(tuple(map(list, zip(*held))) if held else ([], [], []))
+        state.update(tuple(map(list, zip(*held))))
+        state.setTimeoutTimestamp(max(1000 * (max(h[0] for h in held) + seconds), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], a, b, n) for (a, b), n in counts.items()], columns=["file", "before", "after", "n"])
 
     timed = events.where("ts is not null").withColumn("time", F.timestamp_seconds("ts")).withWatermark("time", late)
-    return timed.select("file", "seq", "ts", "component").groupBy("file").applyInPandasWithState(run, "file string, before string, after string, n bigint", "ts array<bigint>, seq array<bigint>, component array<string>", "append", GroupStateTimeout.NoTimeout)
+    return timed.select("file", "seq", "ts", "component", "time").groupBy("file").applyInPandasWithState(run, "file string, before string, after string, n bigint", "ts array<bigint>, seq array<bigint>, component array<string>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -347,3 +347,18 @@ def test_stream_of_windows_equals_the_batch(spark, tmp_path):
     got = {(r.before, r.after): r.n for r in spark.table("windows").groupBy("before", "after").agg(F.sum("n").alias("n")).collect()}
     batch = parse_lines(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, seq bigint, line string"))
     assert got == {(r.before, r.after): r.n for r in window_pairs(batch).collect()}
+
+
+def test_stream_drops_late_events(spark, tmp_path):
+    from seams.streaming.traces import stream_windows
+
+    (tmp_path / "in").mkdir()
+    schema = "file string, seq bigint, ts bigint, component string"
+    events = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    q = stream_windows(events).writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).start()
+    for n, rows in enumerate([[(0, 100, "a"), (1, 102, "b")], [(2, 200, "c"), (3, 201, "a")], [(4, 101, "d"), (5, 202, "b")]]):
+        (tmp_path / f"in/{n}.json").write_text("\n".join(json.dumps({"file": "f", "seq": s, "ts": t, "component": c}) for s, t, c in rows))
+        q.processAllAvailable()
+    q.stop()
+    assert {(r.before, r.after, r.n) for r in spark.table("late").collect()} == {("a", "b", 1), ("c", "a", 1), ("c", "b", 1)}  # a to b again is a row of its own batch
+    assert sum(r.n for r in spark.table("late").collect()) == 4
