@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seams.llm import decontaminate, jaccard_join, licences, lm_ppm, packing, quality, secrets, suffix_dedup, toxicity, warc
+from seams.llm.oracles import ORACLES
 
 #: Where the files of public tokenizers are looked up.
 TOKENIZERS = "/opt/tokenizers"
@@ -70,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
