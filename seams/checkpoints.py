@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -17,3 +21,9 @@ def settle(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seams-checkpoint-"))
     return df.checkpoint()
+
+
+def together(spark: SparkSession, *parts: Callable[[], Any]) -> list:
+    """The results of parts, whose jobs do not rest on each other and run side by side."""
+    with ThreadPool(len(parts)) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda part: part()), parts, chunksize=1)

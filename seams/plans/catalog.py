@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seams.checkpoints import settle
+from seams.checkpoints import settle, together
 from seams.config import EngineConfig
 from seams.functions import text as T
 from seams.operators import behavior, clusters, evolution, feedback, graph, pairs, rank, similarity, structure
@@ -492,13 +492,19 @@ pf as (select ca.comp_a, ca.comp_b, cast(coalesce(cw.w, 0) as double) as structu
 def _brand_parts(spark, d):
     """units, edges, sims, behavior and evolution of brands."""
     units = settle(_brands(spark, d))
-    traces = settle(_traces(spark, d))
-    every = settle(behavior.call_counts(traces))
+
+    def runtime():
+        traces = settle(_traces(spark, d))
+        every = settle(behavior.call_counts(traces))
+        return every, settle(behavior.pair_features(every, behavior.window_pairs(traces), behavior.totals(traces), units))
+
+    def texts():
+        return settle(similarity.cosine_pairs(similarity.tfidf(table(spark, d, "part").select(F.col("p_brand").alias("unit"), F.concat_ws(" ", "p_name", "p_type").alias("text")))))
+
+    (every, seen), sims, history = together(spark, runtime, texts, lambda: settle(_evolution(spark, d)))
     calls = every.where("src <> dst")
     edges = calls.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.when(F.col("calls") >= 5, "strong_import").otherwise("import").alias("kind"), F.col("calls").alias("weight"))
-    sims = similarity.cosine_pairs(similarity.tfidf(table(spark, d, "part").select(F.col("p_brand").alias("unit"), F.concat_ws(" ", "p_name", "p_type").alias("text"))))
-    runtime = behavior.pair_features(every, behavior.window_pairs(traces), behavior.totals(traces), units)
-    return units, edges, settle(sims), settle(runtime), settle(_evolution(spark, d))
+    return units, edges, sims, seen, history
 
 
 def _candidates(spark, d):
@@ -643,9 +649,9 @@ def _whole_features(spark, d):
     """All features of brands: with betweenness, settled ranks and the cosine of trained vectors."""
     units, edges, sims, runtime, history = _brand_parts(spark, d)
     found = settle(pairs.candidates(edges, sims, runtime, history, units))
-    centrality = graph.pagerank(units, edges).join(graph.betweenness(units, edges), "unit_id", "left")
     words = table(spark, d, "part").select(F.col("p_brand").alias("unit"), T.tokenize(F.concat_ws(" ", "p_name", "p_type")).alias("words"))
-    model = similarity.word_vectors(words.select("words"))
+    ranks, between, model = together(spark, lambda: graph.pagerank(units, edges), lambda: graph.betweenness(units, edges), lambda: similarity.word_vectors(words.select("words")))
+    centrality = ranks.join(between, "unit_id", "left")
     vectors = similarity.mean_vectors(similarity.unit_vectors(model, words), model.getVectorSize())
     semantic = similarity.vector_cosines(vectors, found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
     return settle(pairs.assemble(found, units, edges, sims, semantic, centrality, runtime, history))
