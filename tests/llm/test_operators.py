@@ -12,8 +12,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from seams.llm import decontaminate, graph, jaccard_join, licences, lm_ppm, packing, quality, secrets, suffix_dedup, toxicity, warc
+from seams.llm import decontaminate, graph, jaccard_join, licences, lm_ppm, oracles, packing, quality, queries, secrets, suffix_dedup, toxicity, warc
 from seams.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, mask int"
@@ -737,3 +738,44 @@ def test_json_vocabulary_is_the_rank_order():
     vocabulary = spec["model"]["vocab"]
     merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
     assert all(vocabulary[m.replace(" ", "")] == 256 + i for i, m in enumerate(merges))
+
+
+# SQL
+
+
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_jaccard", "op3_warc", "op5_suffix_dedup", "op9_quality"])
+def test_sql_gives_the_rows_of_the_query(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    own = texts()
+    tables = {
+        "documents": spark.createDataFrame([(i, t, ["en", "fr", None][i % 3]) for i, t in enumerate(own)], "doc_id bigint, text string, lang string"),
+        "benchmark": spark.createDataFrame([(1, own[18][:200]), (2, "a b c"), (3, None), (4, ""), (10, own[17])], "item_id bigint, text string"),
+        "labels": spark.createDataFrame([(i, i % 2) for i in range(0, len(own), 2)] + [(None, 1), (3, None)], "doc_id bigint, quality int"),
+        "pages": spark.createDataFrame([(i, [None, "", "<p>é</p>", "x" * 40_000][i % 4]) for i in range(10)], "page_id bigint, html string").withColumn("url", F.lit("http://a/")),
+    }
+    base = duckdb.connect()
+    for table, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{table}.parquet")
+        base.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    got = queries.queries()[name](spark, str(tmp_path))
+    found = base.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r)) for r in got.select(columns).collect())
+
+
+@pytest.mark.parametrize("how", [{"alpha": 0.5, "delta": 0.9, "cost": 0.1}, {"alpha": 0.9, "delta": 0.9, "cost": 1.0}])
+def test_sql_certifies_the_same_cutoffs(spark, how):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w%d!" % rng.randrange(99) if rng.random() < (i % 7) / 6 else "v%d" % rng.randrange(999) for _ in range(80)]), "en") for i in range(300)]
+    marks = [(i, int(i % 7 < 4)) for i in range(300)]
+    base = duckdb.connect()
+    base.execute("create table documents (doc_id bigint, text varchar, lang varchar)")
+    base.executemany("insert into documents values (?, ?, ?)", rows)
+    base.execute("create table labels (doc_id bigint, quality int)")
+    base.executemany("insert into labels values (?, ?)", marks)
+    got = quality.verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(marks, "doc_id bigint, quality int"), **how)
+    expected = {r[0]: r[1] for r in base.execute(f"select doc_id, kept from ({oracles._quality(**how)})").fetchall()}
+    assert {r.doc_id: r.kept for r in got.collect()} == expected
+    assert 0 < sum(expected.values()) < 300
