@@ -9,26 +9,63 @@ from pyspark.sql import functions as F
 from seams.checkpoints import settle
 
 
-def terms(texts: DataFrame) -> DataFrame:
-    """texts (unit, text), any number of rows per unit -> (unit, term, n): words of two characters or more, and pairs of them in a row."""
-    words = texts.select("unit", F.regexp_extract_all(F.lower("text"), F.lit(r"((?U)\w\w+)"), F.lit(1)).alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    return words.select("unit", F.explode(F.concat("w", pairs)).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("n"))
+#: Words up to this many are told to every task, as those a frequent pair of words can consist of.
+MOST_WORDS = 500_000
+_WORD = r"((?U)\w\w+)"
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """texts (unit, text) -> (unit, w): words of two characters or more, in lower case."""
+    return texts.select("unit", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(1)).alias("w"))
+
+
+def _steps(texts: DataFrame) -> DataFrame:
+    """(unit, x, y): each word with the one after it, null after the last."""
+    return _words(texts).select("unit", F.explode(F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(0))).alias("y"))).alias("s")).select("unit", "s.x", "s.y")
+
+
+def vocabulary(texts: DataFrame, max_features: int, least: int) -> DataFrame:
+    """(term, x, y), settled: the max_features most frequent words x and pairs of words x y in a row, of `least` units or more. Ties of frequency are in the order of terms.
+
+    A pair is not more frequent than either of its words, and not in more units. So pairs are counted only of words that reach the frequency
+    of the last word among the first max_features, and only the frequency and whether there is a second unit are kept of a term
+    (units are told apart by 64-bit hashes; where more than two are asked for, they are counted).
+    """
+    unit = F.xxhash64("unit")
+    counted = [F.count("*").alias("cf"), *([F.min("u").alias("lo"), F.max("u").alias("hi")] if least <= 2 else [F.countDistinct("u").alias("df")])]
+    enough = F.lit(True) if least <= 1 else F.col("lo") < F.col("hi") if least == 2 else F.col("df") >= least
+    ones = settle(_words(texts).select(unit.alias("u"), F.explode("w").alias("x")).groupBy("x").agg(*counted).where(enough).select("x", "cf"))
+    last = ones.orderBy(F.desc("cf")).limit(max_features).agg(F.count("*").alias("n"), F.min("cf").alias("cf")).first()  # one row
+    bar = last.cf if last.n == max_features else 0
+    frequent = ones.where(F.col("cf") >= bar)
+    steps = _steps(texts).where("y is not null").select(unit.alias("u"), "x", "y")
+    if frequent.count() <= MOST_WORDS:
+        known = settle(frequent.coalesce(1).select("x", F.monotonically_increasing_id().alias("id")))
+        i, j = (F.broadcast(known.select(F.col("x").alias(c), F.col("id").alias(k))) for c, k in (("x", "i"), ("y", "j")))
+        pairs = steps.join(i, "x").join(j, "y").groupBy("i", "j").agg(*counted).where(enough & (F.col("cf") >= bar)).join(i, "i").join(j, "j")
+    else:
+        pairs = steps.groupBy("x", "y").agg(*counted).where(enough & (F.col("cf") >= bar))
+    every = frequent.select(F.col("x").alias("term"), "x", F.lit(None).cast("string").alias("y"), "cf").unionAll(pairs.select(F.concat_ws(" ", "x", "y"), "x", "y", "cf"))
+    return settle(every.orderBy(F.desc("cf"), "term").limit(max_features).select("term", "x", "y"))  # bounded by max_features
 
 
 def tfidf(texts: DataFrame, max_features: int = 5000, min_df: int | None = None) -> DataFrame:
-    """(unit, term, weight): smooth idf, rows of length 1, over the max_features most frequent terms of min_df units or more.
+    """(unit, term, weight), settled: smooth idf, rows of length 1, over the max_features most frequent terms of min_df units or more.
 
-    min_df is 2, or 1 with five units or fewer. Ties of frequency are in the order of terms.
+    min_df is 2, or 1 with five units or fewer. Texts are read three times (words, pairs, the chosen terms of each unit),
+    so that rare terms are never written or sent.
     """
-    counts = settle(terms(texts))  # the statistics, the weights and the norms rest on it
-    units = texts.select("unit").distinct().agg(F.count("*").alias("units"))
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf")).crossJoin(F.broadcast(units))  # one row
-    least = F.when(F.col("units") <= 5, 1).otherwise(2) if min_df is None else F.lit(min_df)
-    chosen = stats.where(F.col("df") >= least).orderBy(F.desc("cf"), "term").limit(max_features)  # bounded by max_features
-    raw = counts.join(F.broadcast(chosen.select("term", (F.log((1 + F.col("units")) / (1 + F.col("df"))) + 1).alias("idf"))), "term").withColumn("x", F.col("n") * F.col("idf"))
+    units = texts.select("unit").distinct().count()
+    least = (1 if units <= 5 else 2) if min_df is None else min_df
+    chosen = vocabulary(texts, max_features, least)
+    ones = F.broadcast(chosen.where("y is null").select("x", F.col("term").alias("one")))
+    twos = F.broadcast(chosen.where("y is not null").select("x", "y", F.col("term").alias("two")))
+    found = _steps(texts).join(ones, "x", "left").join(twos, ["x", "y"], "left").select("unit", F.explode(F.array("one", "two")).alias("term")).where("term is not null")
+    counts = settle(found.groupBy("unit", "term").agg(F.count("*").alias("n")))
+    stats = counts.groupBy("term").agg(F.count("*").alias("df"))
+    raw = counts.join(F.broadcast(stats), "term").withColumn("x", F.col("n") * (F.log((1 + F.lit(units)) / (1 + F.col("df"))) + 1))
     norms = raw.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, "unit").select("unit", "term", (F.col("x") / F.col("norm")).alias("weight"))
+    return settle(raw.join(norms, "unit").select("unit", "term", (F.col("x") / F.col("norm")).alias("weight")))
 
 
 def cosine_pairs(weights: DataFrame) -> DataFrame:

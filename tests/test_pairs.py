@@ -84,6 +84,28 @@ def test_tfidf_equals_plain_numbers(spark):
             assert rows.get((u, g), 0.0) == pytest.approx(x)
 
 
+@pytest.mark.parametrize(("most", "least", "words"), [(7, None, 500_000), (12, 3, 500_000), (7, None, 2), (40, 1, 500_000)])
+def test_tfidf_counts_only_what_can_be_chosen(spark, monkeypatch, most, least, words):
+    """The most frequent terms, by all counts; rare pairs are not counted by unit."""
+    monkeypatch.setattr(similarity, "MOST_WORDS", words)
+    rng = random.Random(5)
+    texts = [(f"u{i % 7}", " ".join(f"w{min(int(rng.expovariate(0.4)), 15)}" for _ in range(rng.randrange(25)))) for i in range(60)] + [("u0", None), ("u1", "")]
+    counts = {}
+    for u, t in texts:
+        w = (t or "").split()
+        for term in w + [" ".join(x) for x in zip(w, w[1:])]:
+            counts.setdefault(term, {}).setdefault(u, 0)
+            counts[term][u] += 1
+    kept = sorted((t for t, n in counts.items() if len(n) >= (least or 2)), key=lambda t: (-sum(counts[t].values()), t))[:most]
+    raw = {(u, t): n * (np.log(8 / (1 + len(counts[t]))) + 1) for t in kept for u, n in counts[t].items()}
+    norm = {u: np.sqrt(sum(x * x for (v, _), x in raw.items() if v == u)) for u, _ in raw}
+    frame = spark.createDataFrame(texts, "unit string, text string")
+    chosen = similarity.vocabulary(frame, most, least or 2)
+    assert {r.term for r in chosen.collect()} == set(kept)
+    got = {(r.unit, r.term): r.weight for r in similarity.tfidf(frame, most, least).collect()}
+    assert got == pytest.approx({(u, t): x / norm[u] for (u, t), x in raw.items()})
+
+
 def test_pagerank_both_ways(spark):
     rng = random.Random(3)
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(20)], "unit_id string")
