@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seams.checkpoints import settle
+from seams.operators import skipgram
 
 
 #: Words up to this many are told to every task, as those a frequent pair of words can consist of.
@@ -96,15 +97,34 @@ def vector_cosines(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", cosine(F.col("x"), F.col("y")).alias("sim"))
 
 
+#: Vocabularies up to this many words are held by the driver, which Spark's Word2Vec needs some 0.5 kB a word for.
+MOST_VOCABULARY = 100_000
+#: Words that one partition of Spark's Word2Vec is trained on.
+PARTITION_WORDS = 1_000_000
+
+
 def word_vectors(sentences: DataFrame, size: int = 100, window: int = 5, rounds: int = 10, seed: int = 42):
-    """A Word2Vec model of sentences (words). Spark trains skip-grams."""
+    """Word vectors of sentences (words): a Word2Vec model of Spark, which trains skip-grams, with a partition for each PARTITION_WORDS.
+
+    Beyond MOST_VOCABULARY words a settled table (word, v) of `skipgram.vectors`, which the driver never holds.
+    """
     from pyspark.ml.feature import Word2Vec
 
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=1, maxIter=rounds, seed=seed, inputCol="words", outputCol="vector").fit(sentences)
+    counts = sentences.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    every = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()  # one row
+    if every.words > MOST_VOCABULARY:
+        return settle(skipgram.vectors(sentences, size, window, rounds, seed))
+    parts = max(1, every.n // PARTITION_WORDS)
+    return Word2Vec(vectorSize=size, windowSize=window, minCount=1, maxIter=rounds, seed=seed, numPartitions=parts, inputCol="words", outputCol="vector").fit(sentences)
 
 
-def unit_vectors(model, units: DataFrame) -> DataFrame:
-    """(unit, v): the mean vector of the words of each unit (unit, words)."""
+def unit_vectors(model, units: DataFrame, size: int = 100) -> DataFrame:
+    """(unit, v) of units (unit, words): the mean vector of the words of each row, or for a table of vectors the mean of those over the rows of each unit."""
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(units).select("unit", vector_to_array("vector").alias("v"))
+    if not isinstance(model, DataFrame):
+        return model.transform(units).select("unit", vector_to_array("vector").alias("v"))
+    shares = units.select("unit", F.explode("words").alias("word"), (1 / F.size("words")).alias("share")).groupBy("unit", "word").agg(F.sum("share").alias("share"))
+    sums = shares.join(model, "word").groupBy("unit").agg(*[F.sum(F.col("share") * F.col("v")[i]).alias(f"v{i}") for i in range(size)])
+    rows = units.groupBy("unit").agg(F.count("*").alias("n"))  # a row without words is a vector of zeros
+    return rows.join(sums, "unit", "left").select("unit", F.array(*[F.coalesce(F.col(f"v{i}") / F.col("n"), F.lit(0.0)) for i in range(size)]).alias("v"))

@@ -106,6 +106,29 @@ def test_tfidf_counts_only_what_can_be_chosen(spark, monkeypatch, most, least, w
     assert got == pytest.approx({(u, t): x / norm[u] for (u, t), x in raw.items()})
 
 
+@pytest.mark.parametrize(("most", "parts"), [(100_000, 1_000_000), (100_000, 500), (10, 1_000_000)])
+def test_word_vectors_of_any_vocabulary(spark, monkeypatch, most, parts):
+    """Words of one subject are near each other, whether the driver holds the vocabulary or not; units are the mean of their rows."""
+    monkeypatch.setattr(similarity, "MOST_VOCABULARY", most)
+    monkeypatch.setattr(similarity, "PARTITION_WORDS", parts)
+    monkeypatch.setattr(similarity.skipgram, "STRETCH", 4000)
+    rng = random.Random(3)
+    rows = [(u, [f"{u[0]}{rng.randrange(12)}" for _ in range(40)]) for u in ("a1", "a2", "b1", "b2") for _ in range(60)] + [("a1", [])]
+    texts = spark.createDataFrame(rows, "unit string, words array<string>").coalesce(2)
+    model = similarity.word_vectors(texts.select("words"), size=8, rounds=5)
+    assert isinstance(model, type(texts)) == (most == 10)  # else the driver has all words
+    table = model if most == 10 else None
+    units = similarity.mean_vectors(similarity.unit_vectors(model, texts, 8), 8)
+    got = {r.unit: np.array(r.v) for r in units.collect()}
+    cos = lambda x, y: got[x] @ got[y] / np.linalg.norm(got[x]) / np.linalg.norm(got[y])
+    assert min(cos("a1", "a2"), cos("b1", "b2")) > 0.9 > 0.5 > max(cos(x, y) for x in ("a1", "a2") for y in ("b1", "b2"))
+    if table is not None:
+        v = {r.word: np.array(r.v) for r in table.collect()}
+        assert set(v) == {w for _, x in rows for w in x}
+        want = np.mean([np.mean([v[w] for w in x], axis=0) if x else np.zeros(8) for u, x in rows if u == "a1"], axis=0)
+        assert got["a1"] == pytest.approx(want)
+
+
 def test_pagerank_both_ways(spark):
     rng = random.Random(3)
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(20)], "unit_id string")
