@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seams.checkpoints import settle
 from seams.config import CODE_SUFFIXES
 from seams.functions.text import LAYERS, layer_hints, tokenize
 
@@ -159,13 +160,21 @@ def symbol_table(units: DataFrame, all_modules: bool = False) -> DataFrame:
     return full.unionAll(ids).unionAll(short).groupBy("symbol").agg(F.max_by("unit_id", "rank").alias("unit_id"))
 
 
+#: Symbols up to this many are told to every task.
+MOST_SYMBOLS = 200_000
+
+
 def resolve_imports(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     """imports (source, pos, name) -> (source, pos, name, target): the whole name, else for i from the last part down the first i parts, then part i."""
     parts = F.split("name", "[.]")
     tries = F.when(F.size(parts) > 1, F.flatten(F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda i: F.array(F.array_join(F.slice(parts, F.lit(1), i), "."), F.element_at(parts, i + 1))))).otherwise(F.array().cast("array<string>"))
     asked = imports.select("source", "pos", "name", F.posexplode(F.concat(F.array("name"), tries)).alias("rank", "symbol"))
-    hit = asked.join(symbols, "symbol").groupBy("source", "pos", "name").agg(F.min_by("unit_id", "rank").alias("target"))
-    return imports.select("source", "pos", "name").join(hit, ["source", "pos", "name"], "left")
+    symbols = settle(symbols)  # counted, then joined
+    known = F.broadcast(symbols) if symbols.count() <= MOST_SYMBOLS else symbols.hint("merge")
+    # what is not found stays in the groups: imports are not joined with their own results, which would be sent to the driver
+    found = F.min_by("unit_id", F.when(F.col("unit_id").isNotNull() & F.col("source").isNotNull() & F.col("pos").isNotNull(), F.col("rank")))
+    hit = asked.join(known, "symbol", "left").groupBy("source", "pos", "name").agg(found.alias("target"), F.count_if(F.col("rank") == 0).cast("int").alias("times"))
+    return hit.select("source", "pos", "name", F.explode(F.array_repeat("target", F.col("times"))).alias("target"))
 
 
 def edges(resolved: DataFrame, strong: int = 5) -> DataFrame:

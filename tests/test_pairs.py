@@ -301,6 +301,19 @@ def test_imports(spark):
     assert {r.pos: r.target for r in structure.resolve_imports(asked, small).collect()} == {0: "u0", 1: "u0", 2: None}
 
 
+@pytest.mark.parametrize("most", [200_000, 1])
+def test_imports_are_not_sent_to_the_driver(spark, monkeypatch, most):
+    """Only the symbols may be broadcast; repeated and unresolved imports, and those without a name or source, stay."""
+    monkeypatch.setattr(structure, "MOST_SYMBOLS", most)
+    rows = [("s", 0, "a.B.C"), ("s", 0, "a.B.C"), ("s", 1, "none.at"), ("s", 2, None), (None, 3, "a.B"), ("s", 4, "z.B")]
+    imports = spark.createDataFrame(rows, "source string, pos int, name string")
+    symbols = spark.createDataFrame([("a.B", "U"), ("B", "V")], "symbol string, unit_id string")
+    found = structure.resolve_imports(imports, symbols)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, found.collect()), key=key) == sorted([("s", 0, "a.B.C", "U"), ("s", 0, "a.B.C", "U"), ("s", 1, "none.at", None), ("s", 2, None, None), (None, 3, "a.B", None), ("s", 4, "z.B", "V")], key=key)
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("BroadcastHashJoin") == (most > 1)
+
+
 def test_whole_analysis(spark, tmp_path):
     from seams.plans.engine import Engine
 
