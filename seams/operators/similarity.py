@@ -100,7 +100,7 @@ def vector_cosines(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
 #: Vocabularies up to this many words are held by the driver, which Spark's Word2Vec needs some 0.5 kB a word for.
 MOST_VOCABULARY = 100_000
 #: Words that one partition of Spark's Word2Vec is trained on.
-PARTITION_WORDS = 1_000_000
+PARTITION_WORDS = 250_000
 
 
 def word_vectors(sentences: DataFrame, size: int = 100, window: int = 5, rounds: int = 10, seed: int = 42):
